@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from tallysheet.llm.common import documents
 from tallysheet.llm.importance import importance_resample
+from tallysheet.llm.jaccard import jaccard_join
+from tallysheet.llm.langid import identify
 from tallysheet.llm.media import media_columns
+from tallysheet.llm.packing import pack
+from tallysheet.llm.pii import pseudonymise
 from tallysheet.llm.quality_rules import quality_rules
+from tallysheet.llm.spans import drop_repeats
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +32,31 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(documents(spark, sf_dir), labels.filter(good).select("doc_id"), share=1.0 if share is None else share)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents whose crc32(doc_id) mod 4 isn't 2."""
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = identify(docs.select("doc_id", "text"), docs.filter(~held_out).select("doc_id", "text", "lang"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, similarity 0.9 or more."""
+    return jaccard_join(documents(spark, sf_dir), size=3, num=90, den=100)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "n_sentences", "n_removed")
+
+
 OP2_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, host, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
@@ -54,6 +84,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_quality_rules, op3_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_quality_rules, op3_importance_resampling, op4_packing, op5_pii, op6_language_id, op8_ngram_jaccard_join, op10_substring_dedup)}
 
 SQL = {"op2_quality_rules": OP2_SQL}
