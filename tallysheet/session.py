@@ -24,3 +24,24 @@ def build_session(name: str = "tallysheet", master: str | None = None, shuffle_p
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once for each application; where they have it already, this one comes first."""
+    import pathlib
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = pathlib.Path(__file__).parent
+    to = pathlib.Path(tempfile.mkdtemp()) / f"{here.name}.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(to))
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
