@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallysheet.llm.bpe_corpus import encode_corpus
+from tallysheet.llm.brown import score_corpus
 from tallysheet.llm.common import documents
 from tallysheet.llm.importance import importance_resample
 from tallysheet.llm.jaccard import jaccard_join
@@ -48,11 +50,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(documents(spark, sf_dir), outputs=False).drop("ids", "decoded")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.9 or more."""
     return jaccard_join(documents(spark, sf_dir), size=3, num=90, den=100)
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents whose crc32(doc_id) mod 7 isn't 2."""
+    return score_corpus(documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "n_sentences", "n_removed")
 
@@ -84,6 +95,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_quality_rules, op3_importance_resampling, op4_packing, op5_pii, op6_language_id, op8_ngram_jaccard_join, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_quality_rules, op3_importance_resampling, op4_packing, op5_pii, op6_language_id, op7_bpe_encoding, op8_ngram_jaccard_join, op9_brown_lm, op10_substring_dedup)}
 
 SQL = {"op2_quality_rules": OP2_SQL}
