@@ -16,6 +16,8 @@ from tallysheet.llm.components import components
 
 #: Counters of the global order, and of them in a chunk.
 COUNTERS, CHUNK = 1 << 21, 1 << 15
+#: Words of 64 bits in the sketch of a set that bounds overlaps.
+SKETCH = 16
 #: Bits of the filter that spares documents which are in no candidate pair.
 BITS = 1 << 23
 
@@ -110,30 +112,45 @@ def global_order(docs: DataFrame, size: int, fragments: int, counters: int = COU
     return Order(out, fragments)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A bit for each n-gram, by hash. Each bit that another set's sketch lacks is an n-gram that the other lacks."""
+    out, bit = np.zeros(SKETCH, np.uint64), (s >> np.uint64(40)) % np.uint64(64 * SKETCH)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def lacking(a: str, b: str) -> Column:
+    """Bits of sketch a that b lacks: at least so many n-grams of a's set aren't in b's."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
+
+
 def signatures(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame:
-    """(doc_id, n, node, prefix): the set's size, its fingerprint, and as many of its first n-grams in the global order as a linked set must share one of."""
+    """(doc_id, n, node, bits, prefix): the set's size, its fingerprint and sketch, and as many of its first n-grams in the global order as a linked set must share one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = order.value
         for b in batches:
-            n, node, prefix = [], [], []
+            n, node, bits, prefix = [], [], [], []
             for text in b.column(1):
                 s = shingles(text.as_py(), size)
                 n.append(len(s))
                 node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                bits.append(sketch(s))
                 prefix.append(ranked.rank(s)[0][: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if len(s) else s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "node", "bits", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, bits array<long>, prefix array<long>")
 
 
 def postings(sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """(token, node, n, pos) for the prefixes of one document of each set, of tokens that stand in two sets or more."""
+    """(token, node, n, pos) for the prefixes of one document of each set, of tokens that stand in two sets or more; head is one set of the token's list."""
     one = sets.join(reps.select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"]).select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    near = Window.partitionBy("token").orderBy("node")
-    shared = one.withColumn("_before", F.lag("node").over(near)).withColumn("_after", F.lead("node").over(near))
+    # A head by hash of token and set: a group that shares many tokens gets as many heads.
+    near = Window.partitionBy("token").orderBy(F.xxhash64("token", "node"), "node")
+    head = F.first(F.struct("node", "n", F.col("pos").cast("long").alias("pos"))).over(near.rowsBetween(Window.unboundedPreceding, 0))
+    shared = one.withColumn("_before", F.lag("node").over(near)).withColumn("_after", F.lead("node").over(near)).withColumn("head", head)
     # Rows that repeat an id and a text repeat here; they stand beside each other.
-    return shared.filter("(_before is not null or _after is not null) and not (_before <=> node)").select("token", "node", "n", F.col("pos").cast("long").alias("pos"))
+    return shared.filter("(_before is not null or _after is not null) and not (_before <=> node)").select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "head")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
@@ -163,23 +180,26 @@ def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int,
             for i, j in in_slices(rows, [len(r[2]) for r in rows], 16_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i:j]], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["node", "fragment", "part"])
 
-    parts = marked.filter("doc_id is not null").mapInArrow(cut, "node long, fragment int, part binary").dropDuplicates(["node", "fragment"])
+    parts = marked.filter("doc_id is not null").mapInArrow(cut, "node long, fragment int, part binary")
     fragments = len(order.value.cuts) + 1
     by_fragment = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
-    both = by_fragment.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "pa", "pb")
+    # Sort-merge joins at every size: sets are shuffled once, by node and fragment, and pairs carry one side's part to the other.
+    both = by_fragment.hint("merge").join(left, ["a", "fragment"]).hint("merge").join(right.hint("merge"), ["b", "fragment"]).select("a", "b", "fragment", "pa", "pb")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["a", "b", "partial"])
+            n = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(b.column(3), b.column(4), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], ["a", "b", "fragment", "partial"])
 
-    sums = both.mapInArrow(overlap, "a long, b long, partial long").groupBy("a", "b").agg(F.sum("partial").alias("inter"))
+    # Copies that passed the filter have the same parts: one count of each fragment is taken.
+    counts = both.mapInArrow(overlap, "a long, b long, fragment int, partial long").groupBy("a", "b", "fragment").agg(F.max("partial").alias("partial"))
+    sums = counts.groupBy("a", "b").agg(F.sum("partial").alias("inter"))
     return pairs.join(sums, ["a", "b"]).filter(F.col("inter") >= required("na", "nb", num, den))
 
 
-def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", fragments: int = 4, max_rounds: int = 5, rest_factor: int = 4) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", fragments: int = 4, max_rounds: int = 5, rest_factor: int = 100) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles (size of its set of word n-grams) and component_id.
 
     Words are runs of other than space and U+0009 to U+000D, A-Z in lower case. Two documents link when their sets'
@@ -190,8 +210,9 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
     2. All n-grams are counted for a global order, rare ones first. Linked sets share one of the first n-grams of both
        (prefix filter), at places that leave room for the overlap they need.
     3. Sets that share such an n-gram are candidates. A list of many sets isn't multiplied out: in rounds, each set is
-       compared with one of its list's largest component, and components grow, until the pairs that remain
-       between different components are few against the lists (or max_rounds is reached); then all of those are compared. So no link between components is lost, and none within one is needed.
+       compared with one of its list's (of its largest component), and components grow, until the pairs that remain
+       between different components are few against the lists, or a round links fewer than half of its pairs (or max_rounds is reached);
+       then all of those are compared, but for pairs whose sketches show that too many n-grams differ. So no link between components is lost, and none within one is needed.
     4. The overlap of a pair is counted in each fragment of the global order separately, and summed.
 
     Sets and n-grams are 64-bit hashes. Null ids get a null component. Rows that repeat an id are compared each on its own.
@@ -203,25 +224,37 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
     sets, _ = staged(signatures(docs, size, num, den, order), "sets")
     reps, _ = staged(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
     shared, shared_path = staged(postings(sets, reps), "postings")
-    links, checked, labels = [], [], None
+    checked, labels, edges = [], None, None
     for i in range(max_rounds + 1):
-        rows = shared.withColumn("component", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pick = F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", "pos"))
-        lists = rows.groupBy("token", "component").agg(F.count("*").alias("k"), pick.alias("p"))
-        lists = lists.groupBy("token").agg(F.max(F.struct("k", F.col("component").alias("c"), "p")).alias("m"), F.sum("k").alias("total"), F.count("*").alias("components"))
-        lists = lists.filter("components > 1").select("token", F.col("m.c").alias("main"), F.col("m.p.node").alias("b"), F.col("m.p.n").alias("nb"), F.col("m.p.pos").alias("pb"), F.col("m.k").alias("k"), "total")
-        (lists, lists_path) = staged(lists, "lists")
-        remaining = lists.agg(F.count("*").alias("tokens"), F.sum(F.col("total")).alias("rows"), F.sum((F.col("total") - F.col("k")).cast("double") * F.col("total")).alias("pairs")).first()
-        if not remaining["tokens"]:
-            released(spark, lists_path)
-            break
-        last = i == max_rounds or (i > 0 and remaining["pairs"] <= rest_factor * remaining["rows"])
-        apart = rows.join(lists, "token").filter(F.col("component") != F.col("main"))
-        if last:
-            others = rows.join(lists.select("token"), "token").select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-            found = apart.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca")).join(others, "token").filter("ca <> cb")
+        if i == 0:
+            last, remaining = False, None
+            found = shared.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("head.node").alias("b"), F.col("head.n").alias("nb"), F.col("head.pos").alias("pb")).filter("a <> b")
         else:
-            found = apart.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "b", "nb", "pb")
+            rows = shared.drop("head").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            pick = F.min(F.struct(F.xxhash64(F.lit(i), "token", "node").alias("h"), "node", "n", "pos"))
+            lists = rows.groupBy("token", "component").agg(F.count("*").alias("k"), pick.alias("p"))
+            lists = lists.groupBy("token").agg(F.max(F.struct("k", F.col("component").alias("c"), "p")).alias("m"), F.sum("k").alias("total"), F.count("*").alias("components"))
+            lists = lists.filter("components > 1").select("token", F.col("m.c").alias("main"), F.col("m.p.node").alias("b"), F.col("m.p.n").alias("nb"), F.col("m.p.pos").alias("pb"), F.col("m.k").alias("k"), "total")
+            lists, lists_path = staged(lists, "lists")
+            remaining = lists.agg(F.count("*").alias("tokens"), F.sum("total").alias("rows"), F.sum((F.col("total") - F.col("k")).cast("double") * F.col("total")).alias("pairs")).first()
+            if not remaining["tokens"]:
+                released(spark, lists_path)
+                break
+            last = i == max_rounds or remaining["pairs"] <= rest_factor * remaining["rows"] or 2 * n_links < n_pairs
+            near = rows.join(lists, "token")
+            if last:
+                shapes = sets.select("doc_id", "node", "bits").join(reps.select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"]).select("node", "bits")
+                near = near.select("token", "node", "n", "pos", "component", "main").join(shapes.dropDuplicates(["node"]), "node")
+                left = near.filter("component <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), F.col("bits").alias("ba"), "main")
+                right = near.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
+                need = required("na", "nb", num, den)
+                # A pair of sets that are both outside the largest component would come twice.
+                apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+                room = (F.col("na") - F.col("pa") >= need) & (F.col("nb") - F.col("pb") >= need)
+                alike = (F.col("na") - lacking("ba", "bb") >= need) & (F.col("nb") - lacking("bb", "ba") >= need)
+                found = left.join(right, (left["token"] == right["token"]) & apart & room & alike).drop(left["token"])
+            else:
+                found = near.filter("component <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "b", "nb", "pb")
         need = required("na", "nb", num, den)
         found = found.filter((F.col("na") - F.col("pa") >= need) & (F.col("nb") - F.col("pb") >= need))
         swap = F.col("a") > F.col("b")
@@ -229,14 +262,13 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
         for done in checked:
             found = found.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs, _ = staged(found, "pairs")
-        released(spark, lists_path)
+        if i:
+            released(spark, lists_path)
         checked.append(pairs)
         good, _ = staged(linked(pairs, docs, reps, order, size, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        links.append(good)
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
-        labels = components(edges)
+        n_pairs, n_links = pairs.count(), good.count()
+        edges = good if edges is None else edges.union(good)
+        labels, _ = staged(components(edges), "labels")
         if last:
             break
     released(spark, shared_path)
