@@ -71,20 +71,61 @@ def block_key(number: int) -> int:
     return (TaskContext.get().partitionId() << 24) | number
 
 
-PLACES = "block long, doc_ids array<long>, lengths array<int>, numbers binary"
+def shard_of(words: list, shards: int) -> np.ndarray:
+    """Where each word's value is computed, by its hash."""
+    import xxhash
 
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)) % np.uint32(shards)
 
-def places(docs: DataFrame, words_of: Callable[[str | None], list], block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each block: its documents, how many words each has, and the words' numbers."""
+
+def pack_parts(parts: list[bytes]) -> bytes:
+    """Byte strings: their lengths, then their bytes, compressed."""
+    import zstandard
+
+    lengths = pack_numbers(np.fromiter(map(len, parts), np.uint32, len(parts)))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def unpack_parts(b: bytes) -> list[bytes]:
+    import zstandard
+
+    n = int.from_bytes(b[:4], "little")
+    ends = np.cumsum(unpack_numbers(b[4 : 4 + n]), dtype=np.int64).tolist()
+    whole = zstandard.ZstdDecompressor().decompress(b[4 + n :])
+    return [whole[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+PLACES = "block long, doc_ids array<long>, lengths array<int>, numbers binary, shards binary"
+
+
+def places(docs: DataFrame, words_of: Callable[[str | None], list], block_chars: int = BLOCK_CHARS, shards: int = 1) -> DataFrame:
+    """A row for each block: its documents, how many words each has, the words' numbers in order, and the shard of each number's word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, block in enumerate(blocks(batches, words_of, block_chars)):
             numbers = np.concatenate(block.places) if block.places else np.empty(0, np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([block_key(i)]), pa.array([block.ids], pa.list_(pa.int64())), pa.array([[len(p) for p in block.places]], pa.list_(pa.int32())), pa.array([pack_numbers(numbers)], pa.binary())], ["block", "doc_ids", "lengths", "numbers"])
+            own = pack_numbers(shard_of(list(block.numbers), shards)) if shards > 1 else b""
+            yield pa.RecordBatch.from_arrays([pa.array([block_key(i)]), pa.array([block.ids], pa.list_(pa.int64())), pa.array([[len(p) for p in block.places]], pa.list_(pa.int32())), pa.array([pack_numbers(numbers)], pa.binary()), pa.array([own], pa.binary())], ["block", "doc_ids", "lengths", "numbers", "shards"])
 
     return docs.mapInArrow(run, PLACES)
 
 
+def word_shards(docs: DataFrame, words_of: Callable[[str | None], list], shards: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(shard, block, words): a block's distinct words of one shard, by number, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, block in enumerate(blocks(batches, words_of, block_chars)):
+            words, key = list(block.numbers), block_key(i)
+            own = shard_of(words, shards)
+            order = np.argsort(own, kind="stable")
+            found, starts = np.unique(own[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(order)]
+            rows = [pack_parts([w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in map(words.__getitem__, order[x:y].tolist())]) for x, y in zip(starts.tolist(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), key)), pa.array(rows, pa.binary())], ["shard", "block", "words"])
+
+    return docs.mapInArrow(run, "shard int, block long, words binary")
+
+
 def distinct_words(docs: DataFrame, words_of: Callable[[str | None], list], block_chars: int = BLOCK_CHARS, weight: Callable[[int | None], int] | None = None) -> DataFrame:
     """(block, number, word) for each distinct word of each block; with weight also n, the sum of its places' weights by document."""
 
@@ -112,13 +153,24 @@ def distinct_words(docs: DataFrame, words_of: Callable[[str | None], list], bloc
 
 
 def reassembled(values: DataFrame, blocks_of: DataFrame, finish: Callable[[pa.Table, np.ndarray, list, np.ndarray], pa.Table], ddl: str) -> DataFrame:
-    """finish(values sorted by number, word numbers, doc_ids, lengths) for each block, as rows of ddl. A group is one block, so it is bounded."""
+    """finish(values, word numbers, doc_ids, lengths) for each block, as rows of ddl. A group is one block, so it is bounded.
+
+    values: those of each number in order. Rows (block, number, ...) are sorted; rows (block, shard, parts) of packed
+    parts are unpacked to a list by number.
+    """
 
     def run(v: pa.Table, p: pa.Table) -> pa.Table:
         tables = []
-        if len(v) > 1:
+        if "number" in v.column_names:
             v = v.sort_by("number")
         for r in range(len(p)):
+            if "shard" in v.column_names:
+                order = np.argsort(unpack_numbers(p["shards"][r].as_py()), kind="stable").tolist()
+                v = v.sort_by("shard")
+                listed: list[bytes] = [b""] * len(order)
+                for at, part in zip(order, (x for packed in v["parts"] for x in unpack_parts(packed.as_py())), strict=True):
+                    listed[at] = part
+                v = listed
             tables.append(finish(v, unpack_numbers(p["numbers"][r].as_py()), p["doc_ids"][r].as_py(), p["lengths"][r].values.to_numpy()))
         return pa.concat_tables(tables)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallysheet.llm import bpe
-from tallysheet.llm.blocks import BLOCK_CHARS, distinct_words, places, reassembled
+from tallysheet.llm.blocks import BLOCK_CHARS, pack_parts, places, reassembled, unpack_parts, word_shards
 from tallysheet.llm.common import columns
 
 
@@ -66,9 +66,9 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, outputs: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with outputs, ids and decoded.
 
-    Texts are split by the vocabulary's pattern. The distinct words of each block of documents are shuffled by word, so
-    that equal words of all blocks meet: each is encoded once there, as it streams by in order, and its ids go back to
-    each block that has it. Blocks put ids at the places of their words, and decode them by the table of token bytes.
+    Texts are split by the vocabulary's pattern. The distinct words of each block of documents are shuffled by shards of
+    their hash, so that equal words of all blocks meet: each is encoded once there, and its ids go back to each block
+    that has it. Blocks put ids at the places of their words, and decode them by the table of token bytes.
     Words are combined within a block before the shuffle, so a word that stands everywhere is one row a block.
 
     A null text counts as empty (no ids). Repeated rows give repeated rows; a null id stays null; an empty table gives
@@ -79,21 +79,25 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = columns(docs, *dict.fromkeys([id_col, text_col])).selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     words_of = lambda t: bpe.pretokens(t, pat)
 
+    # Shards grow with the input (partitions are of bounded size), so a shard has a bounded number of words.
+    shards = max(64, 4 * docs.rdd.getNumPartitions())
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, last, ids = bpe.ranks_of(path), None, b""
+        ranks, last, known = bpe.ranks_of(path), None, {}
         for b in batches:
-            out = []
-            for word in b.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encode_word(word, ranks), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["block", "number", "ids"])
-
-    encoded = distinct_words(docs, words_of, block_chars).repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, number int, ids binary")
-
-    def finish(v: pa.Table, numbers: np.ndarray, doc_ids: list, lengths: np.ndarray) -> pa.Table:
+            for shard, block, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if shard != last:
+                    last, known = shard, {}
+                words = unpack_parts(packed.as_py())
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(encode_word(w, ranks), "<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([pack_parts([known[w] for w in words])], pa.binary())], ["block", "shard", "parts"])
+
+    encoded = word_shards(docs, words_of, shards, block_chars).repartition("shard").sortWithinPartitions("shard").mapInArrow(encode, "block long, shard int, parts binary")
+
+    def finish(ids_of: list[bytes], numbers: np.ndarray, doc_ids: list, lengths: np.ndarray) -> pa.Table:
         table = token_bytes(path)
-        ids_of = v["ids"].to_pylist() if len(v) else []
         at, rows = 0, []
         for n in lengths.tolist():
             ids = b"".join(map(ids_of.__getitem__, numbers[at : at + n].tolist()))
@@ -104,7 +108,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         n, a, b, ids, decoded = zip(*rows, strict=True)
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.binary())})
 
-    return reassembled(encoded, places(docs, words_of, block_chars), finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded binary")
+    return reassembled(encoded, places(docs, words_of, block_chars, shards), finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded binary")
 
 
 _TABLES: dict[str, list[bytes]] = {}
