@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallysheet.llm.common import columns, in_slices, released, staged, words_of
+from tallysheet.llm.common import columns, in_slices, kept_by_worker, released, staged, words_of
 from tallysheet.llm.components import components
 
 #: Counters of the global order, and of them in a chunk.
@@ -81,6 +81,7 @@ def global_order(docs: DataFrame, size: int, fragments: int, counters: int = COU
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        kept_by_worker("jaccard")
         total = np.zeros(counters, np.uint32)
         for b in batches:
             for text in b.column(1):
@@ -153,6 +154,17 @@ def postings(sets: DataFrame, reps: DataFrame) -> DataFrame:
     return shared.filter("(_before is not null or _after is not null) and not (_before <=> node)").select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "head")
 
 
+def to_bytes(s: np.ndarray) -> bytes:
+    """The lower 48 bits of each hash: within one pair of sets that is as good as 64."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_bytes(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
     """pairs (a, b, na, nb) with inter, their overlap: counted in each fragment of the order on its own and summed by pair.
 
@@ -176,7 +188,7 @@ def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int,
             for i in wanted:
                 if len(s := shingles(b.column(1)[int(i)].as_py(), size)):
                     node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                    rows += [(node, f, part.tobytes()) for f, part in ranked.fragments(s)]
+                    rows += [(node, f, to_bytes(part)) for f, part in ranked.fragments(s)]
             for i, j in in_slices(rows, [len(r[2]) for r in rows], 16_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i:j]], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["node", "fragment", "part"])
 
@@ -190,7 +202,7 @@ def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int,
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(b.column(3), b.column(4), strict=True)]
+            n = [len(np.intersect1d(from_bytes(x.as_py()), from_bytes(y.as_py()), assume_unique=True)) for x, y in zip(b.column(3), b.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], ["a", "b", "fragment", "partial"])
 
     # Copies that passed the filter have the same parts: one count of each fragment is taken.
@@ -215,7 +227,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
        then all of those are compared, but for pairs whose sketches show that too many n-grams differ. So no link between components is lost, and none within one is needed.
     4. The overlap of a pair is counted in each fragment of the global order separately, and summed.
 
-    Sets and n-grams are 64-bit hashes. Null ids get a null component. Rows that repeat an id are compared each on its own.
+    Sets and n-grams are 64-bit hashes, of which overlaps are counted by 48 bits. Null ids get a null component. Rows that repeat an id are compared each on its own.
     An empty table gives none. Other columns are left out.
     """
     spark = docs.sparkSession
