@@ -7,6 +7,8 @@ import re
 import struct
 from functools import lru_cache
 
+from tallysheet.llm.common import kept_by_worker
+
 #: Texts of these characters only take the faster of two patterns; on them, `re` and `regex` know the same letters, digits and spaces.
 UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e¡-±´-¸»¿-ɏͰ-ͷͻ-ͽΑ-ΡΣ-ҁҊ-ӿ‐-‧€]")
 USUAL = re.compile(r" ?[^\W\d_]++| ?\d++|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s+")
@@ -67,7 +69,6 @@ class WordIds(dict):
         return packed
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """One table for each Python worker, whichever tasks it runs."""
-    return WordIds(path)
+    """One table for each Python worker, whichever of this operator's tasks it runs."""
+    return kept_by_worker(f"words {path}", lambda: WordIds(path))

@@ -66,3 +66,14 @@ def in_slices(values: list, sizes: list[int], most: int):
         total += n
     if start < len(values):
         yield start, len(values)
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept_by_worker(name: str, make=lambda: None):
+    """What a Python worker keeps from task to task for one operator. What it kept for another operator goes, so that a chain of operators needs no more memory than the largest."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]

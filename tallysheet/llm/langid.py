@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallysheet.llm.common import columns
+from tallysheet.llm.common import columns, kept_by_worker
 
 TOKEN = re.compile(r"[^\W\d_]+")
 ORDERS = (3, 2, 1)
 UNKNOWN = "und"
+#: Documents that a worker takes at once.
+SLICE = 1000
 
 
 def letters(text: str) -> list[str]:
@@ -85,7 +87,7 @@ class Model:
                 rare = [tokens[i] for i in np.flatnonzero(ids < 0)]
                 pending += rare
                 owner += [d] * len(rare)
-            if len(pending) > 200_000:
+            if len(pending) > 20_000:
                 self._add(totals, pending, owner)
                 pending, owner = [], []
         self._add(totals, pending, owner)
@@ -104,7 +106,8 @@ def counts(rows: DataFrame) -> DataFrame:
     """(lang, kind, token, n): words (kind 0) and n-grams (their order) of a (lang, text) table; each task combines its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kept_by_worker("language")
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 seen.setdefault(lang, Counter()).update(letters(text.as_py() or ""))
@@ -167,9 +170,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     schema = type(docs.schema)([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, scores = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+        kept_by_worker("language")
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                names, scores = shared.value.predict(b.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
 
