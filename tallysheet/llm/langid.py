@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallysheet.llm.common import columns, kept_by_worker
+from tallysheet.llm.common import columns, kept_by_worker, released, staged
 
 TOKEN = re.compile(r"[^\W\d_]+")
 ORDERS = (3, 2, 1)
@@ -133,10 +133,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_b
         raise ValueError("no labelled rows to learn from")
     rate = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, max_docs / n)) for k, n in sizes.items()])
     unit = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    found = counts(docs.filter(unit < rate).select("lang", "text"))
+    found, path = staged(counts(docs.filter(unit < rate).select("lang", "text")), "language-counts")
     top = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "token")))
     chosen = top.filter(F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)).select("lang", "kind", "token", "n").toArrow()
     total = {(r["lang"], r["kind"]): r["n"] for r in found.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
+    released(docs.sparkSession, path)
     languages = sorted(sizes)
     at = {x: i for i, x in enumerate(languages)}
     tables: dict[int, dict[str, np.ndarray]] = {0: {}, **{k: {} for k in ORDERS}}
