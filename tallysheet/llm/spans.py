@@ -1,9 +1,9 @@
-"""Substring deduplication: runs of consecutive sentences that stood elsewhere before are removed."""
+"""Substring deduplication: runs of consecutive words that stood elsewhere before are removed."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,86 +37,176 @@ def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str, min_words: int = WORDS, longest: int = LONGEST) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """The sentences, and (hash, first, last) of the shortest runs of two or more that begin or end at each and have min_words words.
+#: Powers of an odd number modulo 2**64 and of its inverse, for hashes of windows.
+BASE = 0x9E3779B97F4A7C15 | 5
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get("up", ())) < n:
+        size = max(1 << 16, 1 << n.bit_length())
+        for name, x in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            _POWERS[name] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, np.uint64))])
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word: in lower case, white space is what str.split takes for it."""
+    words = "\n".join(text.lower().split()).encode("utf-8", "surrogatepass")
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.split(b"\n") if words else ()), np.uint64)
+
+
+def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each window of `size` consecutive words."""
+    if len(h) < size:
+        return np.zeros(0, np.int64)
+    up, down = _powers(len(h) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
+    x = (total[size:] - total[:-size]) * down[: len(h) - size + 1]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(33))).view(np.int64)
+
+
+def anchors(h: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the windows of half as many words, and for each window of min_words words the place of the least of those within it (the first of equal ones).
 
-    Words are compared in lower case and without regard to white space. A passage of whole sentences with min_words
-    words or more is covered wherever it stands: each of its sentences is in a run that lies within it.
+    Equal windows have equal anchors at the same place within them, so a window whose anchor stands at one place only has no equal.
     """
-    found = sentences(text, longest)
-    words = [text[a:b].lower().split() for a, b in found]
-    sizes = np.cumsum([0, *map(len, words)])
-    hashes = [xxhash.xxh3_64_intdigest("\x00".join(w).encode("utf-8", "surrogatepass")) for w in words]
-    n, runs = len(found), set()
-    if n < 2 or sizes[-1] < min_words:
-        return found, []
-    ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + min_words), np.arange(n) + 2)
-    runs.update((i, int(e)) for i, e in enumerate(ends) if e <= n)
-    begins = np.minimum(np.searchsorted(sizes, sizes[1:] - min_words, side="right") - 1, np.arange(n) - 1)
-    runs.update((int(s), i + 1) for i, s in enumerate(begins) if s >= 0)
-    packed = np.array(hashes, np.uint64).tobytes()
-    return found, [(xxhash.xxh3_64_intdigest(packed[8 * a : 8 * b]) - (1 << 63), a, b) for a, b in sorted(runs)]
-
-
-def non_first(docs: DataFrame, min_words: int, longest: int) -> DataFrame:
-    """(doc_id, hash, first, last) of each run that isn't the first of its kind by doc_id, then place.
-
-    Each task keeps the first of the runs it has read and marks the others at once, so that a run that a third of all
-    documents share reaches the shuffle once a task; the marked ones are dealt by document. One shuffle of numbers.
+    half = max(1, min_words // 2)
+    small = window_hashes(h, half)
+    if len(h) < min_words:
+        return small, np.zeros(0, np.int64)
+    inside = np.lib.stride_tricks.sliding_window_view(small, min_words - half + 1)
+    return small, np.arange(len(inside)) + inside.argmin(axis=1)
+
+
+def spans(text: str, min_words: int = WORDS, longest: int = LONGEST) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """The sentences, and (hash, first, last) of each run of min_words consecutive words; first and last count words.
+
+    Words are compared in lower case and without regard to white space. Runs begin at every word, so a passage of min_words
+    words or more is covered wherever it stands in sentences and at whatever distance from their beginnings.
     """
+    hashes = window_hashes(word_hashes(text), min_words).tolist()
+    return sentences(text, longest), [(x, i, i + min_words) for i, x in enumerate(hashes)]
+
 
-    def settled(parts: list[np.ndarray]) -> pa.RecordBatch:
-        h, d, a, b = np.concatenate(parts, axis=1)
-        order = np.lexsort((b, a, d, h))
-        h, d, a, b = h[order], d[order], a[order], b[order]
-        same = np.zeros(len(h), bool)
-        same[1:] = h[1:] == h[:-1]
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-        later = same & ((d != d[head]) | (a != a[head]))
-        keep = ~same | later
-        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(d[keep]), pa.array(a[keep].astype(np.int32)), pa.array(b[keep].astype(np.int32)), pa.array(later[keep])], ["hash", "doc_id", "first", "last", "later"])
+def settled(parts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of (hash, doc_id, first, key) rows the first of each hash (more: there are others), and the others, marked as later; by doc_id and first. Equal rows are no others."""
+    h, d, a, g = np.concatenate(parts, axis=1)
+    order = np.lexsort((a, d, h))
+    h, d, a, g = h[order], d[order], a[order], g[order]
+    same = np.zeros(len(h), bool)
+    same[1:] = h[1:] == h[:-1]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+    later = same & ((d != d[head]) | (a != a[head]))
+    more = np.zeros(len(h), bool)
+    more[head[later]] = True
+    at = np.flatnonzero(~same | later)
+    at = at[np.lexsort((a[at], d[at]))]
+    return h[at], d[at], a[at], g[at], later[at], more[at]
+
+
+def places_of(docs: DataFrame, names: tuple[str, ...], rows_of: Callable, packed: Callable[..., pa.RecordBatch], ddl: str) -> DataFrame:
+    """What rows_of(text, list of the third column, if one is named) finds in each text, as (hash, first, key) arrays: settled by task and packed into rows of ddl.
+
+    Each task keeps the first of the equal ones it has read and marks the others at once, so that a run that a third of all
+    documents share reaches the shuffle once a task; the marked ones are dealt by document.
+    """
+    at = [docs.columns.index(c) for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, runs = spans(text.as_py() or "", min_words, longest)
-                if runs:
-                    h, a, b = np.array(runs, np.int64).T
-                    parts.append(np.stack([h, np.full(len(h), doc_id), a, b]))
+            ids, texts, *more = (batch.column(i) for i in at)
+            for doc_id, text, *x in zip(ids.to_pylist(), texts, *more, strict=True):
+                if doc_id is None or (x and not x[0].is_valid):
+                    continue
+                h, a, g = rows_of(text.as_py() or "", *(y.values.to_numpy() for y in x))
+                if len(h):
+                    parts.append(np.stack([h, np.full(len(h), doc_id), a, g]))
                     held += len(h)
-            if held > HELD:
-                yield settled(parts)
-                parts, held = [], 0
+                if held > HELD:
+                    yield packed(*settled(parts))
+                    parts, held = [], 0
         if parts:
-            yield settled(parts)
+            yield packed(*settled(parts))
 
-    rows = docs.mapInArrow(run, "hash long, doc_id long, first int, last int, later boolean")
+    return docs.mapInArrow(run, ddl)
+
+
+def shared_anchors(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc_id, hash) of the anchors that stand at two places or more. One shuffle of numbers, about one for every eleven words."""
+
+    def rows_of(text: str) -> tuple[np.ndarray, ...]:
+        small, at = anchors(word_hashes(text), min_words)
+        at = at[np.diff(at, prepend=-1) != 0]
+        return small[at], at, at
+
+    def packed(h, d, a, g, later, more) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.array(a.astype(np.int32)), pa.array(later), pa.array(more)], ["hash", "doc_id", "first", "later", "more"])
+
+    rows = places_of(docs, (id_col, text_col), rows_of, packed, "hash long, doc_id long, first int, later boolean, more boolean")
     rows = rows.withColumn("_by", F.when(F.col("later"), F.xxhash64("doc_id", "first")).otherwise(F.col("hash")))
-    # Unmarked runs of one key have one hash and come before marked ones that fall on the same key.
-    least = Window.partitionBy("_by").orderBy("later", "doc_id", "first").rowsBetween(Window.unboundedPreceding, 0)
+    place, all_of = F.struct("doc_id", "first"), Window.partitionBy("_by")
+    rows = rows.withColumn("_least", F.min(place).over(all_of)).withColumn("_most", F.max(place).over(all_of))
+    return rows.filter(F.col("later") | F.col("more") | (F.col("_least") != F.col("_most"))).select("doc_id", "hash")
+
+
+def non_first(docs: DataFrame, id_col: str, text_col: str, shared_col: str, min_words: int) -> DataFrame:
+    """(doc_id, hashes, firsts) of the runs that aren't the first of their kind by doc_id, then place; only runs with an anchor of shared_col can be.
+
+    One shuffle of numbers: the hashes of consecutive runs of one anchor are a row, and meet others by the anchor.
+    """
+
+    def rows_of(text: str, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+        h = word_hashes(text)
+        small, at = anchors(h, min_words)
+        a = np.flatnonzero(np.isin(small[at], shared))
+        return window_hashes(h, min_words)[a], a, small[at[a]]
+
+    def packed(h, d, a, g, later, more) -> pa.RecordBatch:
+        # Runs that are marked meet nothing: their key is their document's.
+        g = np.where(later, d, g)
+        new = np.ones(len(h), bool)
+        new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1) | (g[1:] != g[:-1]) | (later[1:] != later[:-1])
+        at = np.flatnonzero(new)
+        hashes = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)).astype(np.int32)), pa.array(h))
+        return pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(d[at]), pa.array(a[at].astype(np.int32)), pa.array(later[at]), hashes], ["_by", "doc_id", "at", "later", "hashes"])
+
+    rows = places_of(docs, (id_col, text_col, shared_col), rows_of, packed, "_by long, doc_id long, at int, later boolean, hashes array<bigint>").repartition("_by")
+    rows = rows.select("_by", "doc_id", "at", "later", F.posexplode("hashes").alias("_pos", "hash")).select("_by", "doc_id", "later", "hash", (F.col("at") + F.col("_pos")).alias("first"))
+    # Unmarked runs of one key and hash come before marked ones that fall on the same key.
+    least = Window.partitionBy("_by", "hash").orderBy("later", "doc_id", "first").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_head", F.first(F.struct("doc_id", "first")).over(least))
     is_later = F.col("later") | (F.col("_head") != F.struct("doc_id", "first"))
-    return rows.filter(is_later).select("doc_id", "hash", "first", "last")
+    gone = rows.filter(is_later).groupBy("_by", "doc_id").agg(F.collect_list(F.struct("hash", "first")).alias("_runs"))
+    return gone.select("doc_id", F.col("_runs.hash").alias("hashes"), F.col("_runs.first").alias("firsts"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = WORDS, longest: int = LONGEST) -> DataFrame:
-    """docs with the sentences removed that a non-first repeated run covers, and n_sentences, n_removed and removed_spans added.
+    """docs with the words removed that a non-first repeated run covers, and n_sentences, n_removed and removed_spans added.
 
-    A run is two or more consecutive sentences with min_words words together; the first of equal runs (by id, then place)
-    stays, in a document as across documents. removed_spans are the removed stretches of the text, as [start, end) pairs of
-    characters. What stands between kept sentences is kept.
+    A run is min_words consecutive words; the first of equal runs (by id, then place) stays, in a document as across
+    documents. So every passage of min_words words or more that stood before goes as a whole, wherever in a sentence it begins
+    or ends. n_removed counts the sentences that lose a word, n_sentences all of them. removed_spans are the removed stretches of
+    the text, as [start, end) pairs of characters. What stands between kept words is kept.
 
     A null text stays null; a null id takes part in no comparison and its text stays. Rows that repeat an id are read as
     one document: they lose the same runs, and none to each other. Empty and short texts have no run. Other columns stay; those named like an added one are replaced.
-    Runs of one document are gathered by its id; texts are shuffled once, to meet them.
+
+    First the anchors of runs are compared, then only the runs whose anchor stands at two places or more, so that a shuffle
+    of all runs isn't needed. Both are gathered by document; texts are shuffled once, to meet them.
     """
     added = ("n_sentences", "n_removed", "removed_spans")
     keep = [c for c in docs.columns if c not in added]
     docs = columns(docs, *keep)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    gone = non_first(rows, min_words, longest).groupBy("doc_id").agg(F.collect_set(F.struct("hash", "first", "last")).alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.withColumn("_key", F.col(id_col).cast("long")).join(gone, F.col("_key") == F.col("_id"), "left").select(*keep, "_gone")
+    by_id = docs.withColumn("_key", F.col(id_col).cast("long"))
+    shared = shared_anchors(by_id.select("_key", text_col), "_key", text_col, min_words).groupBy("doc_id").agg(F.collect_set("hash").alias("_shared")).withColumnRenamed("doc_id", "_sid")
+    # Both uses of `met` read all its columns, so that Spark shuffles the texts once for both.
+    met = by_id.join(shared, F.col("_key") == F.col("_sid"), "left").drop("_sid")
+    gone = non_first(met, "_key", text_col, "_shared", min_words).groupBy("doc_id").agg(F.collect_list(F.struct("hashes", "firsts")).alias("_gone")).withColumnRenamed("doc_id", "_id")
+    joined = met.join(gone, F.col("_key") == F.col("_id"), "left").select(*keep, "_gone", "_key", "_shared")
     at = keep.index(text_col)
     schema = type(docs.schema)([*docs.schema.fields]).add("n_sentences", "long").add("n_removed", "long").add("removed_spans", ArrayType(ArrayType(IntegerType())))
 
@@ -124,11 +214,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             texts, n, removed, cut = [], [], [], []
             for x, gone in zip(b.column(at), b.column(len(keep)), strict=True):
-                text = x.as_py()
-                new, k, ranges = without(text, [(g["hash"], g["first"], g["last"]) for g in gone.as_py() or ()], min_words, longest)
+                text, found = x.as_py(), gone.values if gone.is_valid else None
+                runs = [] if found is None else [(h, a, a + min_words) for h, a in zip(*(c.flatten().to_pylist() for c in found.flatten()), strict=True)]
+                new, k, ranges = without(text, runs, min_words, longest)
                 texts.append(new)
                 n.append(k)
-                removed.append(sum(1 for _ in ranges))
+                removed.append(sentences_hit(sentences(text, longest), ranges) if ranges else 0)
                 cut.append([[s, e] for s, e in ranges])
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(keep)])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(cut, pa.list_(pa.list_(pa.int32())))], [*keep, *added])
@@ -136,20 +227,48 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.mapInArrow(run, schema)
 
 
+def sentences_hit(found: list[tuple[int, int]], ranges: list[tuple[int, int]]) -> int:
+    """How many of the sentences a range has a part of. Both are in order and apart."""
+    starts, ends = np.array(found).T
+    hit = np.zeros(len(found) + 1, np.int64)
+    for s, e in ranges:
+        hit[np.searchsorted(ends, s, side="right")] += 1
+        hit[np.searchsorted(starts, e)] -= 1
+    return int((np.cumsum(hit) > 0).sum())
+
+
 def without(text: str | None, gone: list[tuple[int, int, int]], min_words: int, longest: int) -> tuple[str | None, int, list[tuple[int, int]]]:
-    """The text without the sentences of the given runs, its number of sentences, and the removed stretches. Runs that aren't the text's own are passed over."""
+    """The text without the words of the given runs, its number of sentences, and the removed stretches. Runs that aren't the text's own are passed over.
+
+    A run that overlaps the first of its kind takes only the words behind that one.
+    """
     if text is None:
         return None, 0, []
-    if not gone:
-        return text, len(sentences(text, longest)), []
-    found, own = spans(text, min_words, longest)
-    covered = np.zeros(len(found), bool)
-    for run in set(own) & set(gone):
-        covered[run[1] : run[2]] = True
-    out, at, ranges = [], 0, []
-    for i in np.flatnonzero(covered):
-        start, end = found[i][0], found[i + 1][0] if i + 1 < len(found) else len(text)
+    n = len(sentences(text, longest))
+    own = window_hashes(word_hashes(text), min_words)
+    h, a, b = np.array(gone, np.int64).reshape(-1, 3).T
+    ok = (a < len(own)) & (b == a + min_words)
+    ok[ok] = own[a[ok]] == h[ok]
+    h, a = h[ok], np.sort(a[ok])
+    if not len(a):
+        return text, n, []
+    later = np.zeros(len(own), bool)
+    later[a] = True
+    kept = np.flatnonzero(~later)
+    kept = kept[np.isin(own[kept], h)]
+    firsts = dict(zip(own[kept].tolist(), kept.tolist(), strict=True))
+    starts = np.array([max(i, firsts.get(x, i - min_words) + min_words) for i, x in zip(a.tolist(), own[a].tolist(), strict=True)])
+    edges = np.zeros(len(own) + min_words, np.int64)
+    # A run that begins in its first one covers what lies behind that.
+    inside = starts < a + min_words
+    np.add.at(edges, starts[inside], 1)
+    np.add.at(edges, a[inside] + min_words, -1)
+    covered = np.cumsum(edges)[: len(own) + min_words - 1] > 0
+    words = [m.start() for m in re.finditer(r"\S+", text)] + [len(text)]
+    turns = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
+    ranges = [(words[i], words[j]) for i, j in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+    out, at = [], 0
+    for start, end in ranges:
         out.append(text[at:start])
         at = end
-        ranges.append((start, end))
-    return "".join([*out, text[at:]]), len(found), ranges
+    return "".join([*out, text[at:]]), n, ranges

@@ -299,6 +299,27 @@ def test_passage_is_covered():
         assert b.split("\n")[0].split(".")[0] in left and b.split(".")[-2].strip() in left
 
 
+def test_passage_within_sentences_goes_whole(spark):
+    r = random.Random(10)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    for sizes in ((51,), (26, 25), (12, 13, 14, 12), (5, 41, 6)):
+        passage = ". ".join(say(n) for n in sizes)
+        d = [(1, f"{say(9)}. {say(5)} {passage} {say(6)}. {say(30)}."), (2, f"{say(40)}. {say(17)} {passage} {say(11)}. {say(4)}."), (3, say(90) + ".")]
+        got = {x["doc_id"]: x for x in spans.drop_repeats(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+        assert got[1]["text"] == d[0][1] and got[3]["text"] == d[2][1]
+        assert got[2]["text"] == d[1][1].replace(passage + " ", ""), sizes
+        assert [got[i]["n_removed"] > 0 for i in (1, 2, 3)] == [False, True, False]
+
+
+def test_overlapping_repeat_leaves_the_first():
+    for period in (1, 3, 17):
+        words = [f"w{i % period}" for i in range(500)]
+        text, runs = " ".join(words), spans.spans(" ".join(words))[1]
+        seen = {}
+        gone = [x for x in runs if seen.setdefault(x[0], x[1]) != x[1]]
+        assert spans.without(text, gone, 40, 30)[0].split() == words[:40]
+
+
 def test_pipeline(spark, docs, rows):
     import corpus_pipeline as p
 
