@@ -22,12 +22,12 @@ HELD = 1_000_000
 
 
 def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int]]:
-    """(start, end) of each sentence in text. One of more than `longest` words is cut every `longest` words, so that text without marks has sentences too."""
+    """(start, end) of each sentence in text. One of more than `longest` words is cut every `longest` words, so that text without marks has sentences too. These only count sentences; runs don't depend on them."""
     out, at = [], 0
     for m in [*END.finditer(text), None]:
         stop = m.start() if m else len(text)
         if text[at:stop].strip():
-            if text.count(" ", at, stop) < longest:
+            if len(text[at:stop].split()) <= longest:
                 out.append((at, stop))
             else:
                 cuts = [w.start() for w in re.finditer(r"\S+", text[at:stop])][longest::longest]

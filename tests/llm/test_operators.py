@@ -311,6 +311,19 @@ def test_passage_within_sentences_goes_whole(spark):
         assert [got[i]["n_removed"] > 0 for i in (1, 2, 3)] == [False, True, False]
 
 
+def test_cuts_of_long_sentences_do_not_matter():
+    r = random.Random(11)
+    say = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    passage = say(70)
+    first = {x[0] for x in spans.spans(" ".join([*say(40), *passage, *say(50)]))[1]}
+    for offset in range(31):
+        before, after = say(offset), say(40)
+        text = " ".join([*before, *passage, *after])
+        assert spans.without(text, [x for x in spans.spans(text)[1] if x[0] in first], 40, 30)[0].split() == before + after
+    for gap in (" ", "  ", "\t", " \t "):
+        assert [len(spans.sentences(gap.join(passage[:n]))) for n in (20, 30, 31, 70)] == [1, 1, 2, 3]
+
+
 def test_overlapping_repeat_leaves_the_first():
     for period in (1, 3, 17):
         words = [f"w{i % period}" for i in range(500)]
