@@ -69,8 +69,8 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     Frames are computed in blocks with the neighbouring frames that a peak needs, so long media need no more memory.
     """
     x = samples.astype(np.float32) - 128
-    if len(x) < WINDOW:
-        x = np.pad(x, (0, WINDOW - len(x)))
+    # Silence up to a whole hop, so that each sample is in a frame.
+    x = np.pad(x, (0, WINDOW - len(x) if len(x) < WINDOW else -(len(x) - WINDOW) % HOP))
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     n, ts, fs = len(frames), [], []
     for at in range(0, n, BLOCK):

@@ -63,6 +63,16 @@ def test_peaks_in_blocks(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole[:2], media.peaks(x)[:2], strict=True))
 
 
+def test_last_samples_are_in_a_frame():
+    for n in (64, 256, 320, 448, 64 * 101):
+        x = np.frombuffer(random.Random(n).randbytes(n), np.uint8).copy()
+        t, f, frames = media.peaks(x)
+        assert (frames - 1) * media.HOP + media.WINDOW >= n
+        x[-64:] = np.random.default_rng(n).integers(0, 256, 64)
+        t2, f2, _ = media.peaks(x)
+        assert not (np.array_equal(t, t2) and np.array_equal(f, f2))
+
+
 def test_quality(docs, rows, empty):
     got = collections.Counter(tuple(r) for r in quality_rules.quality_rules(docs, min_docs=2, host_share=0.1).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
     want = collections.Counter()
