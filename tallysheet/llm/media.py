@@ -18,7 +18,7 @@ UNIT, RATE = 64, 8000
 WINDOW, HOP = 256, 128
 #: A peak is the largest value within so many frames and bins on each side.
 NEAR_FRAMES, NEAR_BINS = 5, 8
-#: Each peak is paired with so many later ones, up to so many frames away.
+#: Each peak is paired with so many of later frames, up to so many frames away.
 FANOUT, FAR_FRAMES = 3, 63
 #: Frames of which the spectrogram is held at once.
 BLOCK = 4096
@@ -87,11 +87,14 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def landmarks(t: np.ndarray, f: np.ndarray) -> np.ndarray:
     """Peak pairs as time-coded integers: frame of the first peak, then both bins (8 bits each) and the distance (6 bits)."""
-    codes = []
-    for k in range(1, FANOUT + 1):
-        dt = t[k:] - t[:-k]
-        ok = (dt > 0) & (dt <= FAR_FRAMES)
-        codes.append((t[:-k][ok].astype(np.int64) << 22) | (f[:-k][ok].astype(np.int64) << 14) | (f[k:][ok].astype(np.int64) << 6) | dt[ok].astype(np.int64))
+    codes, later = [], np.searchsorted(t, t, side="right")
+    for k in range(FANOUT):
+        i = np.flatnonzero(later + k < len(t))
+        j = later[i] + k
+        dt = t[j] - t[i]
+        ok = dt <= FAR_FRAMES
+        i, j, dt = i[ok], j[ok], dt[ok]
+        codes.append((t[i].astype(np.int64) << 22) | (f[i].astype(np.int64) << 14) | (f[j].astype(np.int64) << 6) | dt.astype(np.int64))
     return np.sort(np.concatenate(codes))
 
 

@@ -73,6 +73,13 @@ def test_last_samples_are_in_a_frame():
         assert not (np.array_equal(t, t2) and np.array_equal(f, f2))
 
 
+def test_each_peak_is_paired_with_later_frames():
+    t, f = np.array([0, 0, 0, 0, 0, 2, 3, 3, 70]), np.array([1, 2, 3, 4, 5, 6, 7, 8, 9])
+    want = [(t[i] << 22) | (f[i] << 14) | (f[j] << 6) | (t[j] - t[i]) for i in range(9) for j in [j for j in range(9) if t[j] > t[i]][:3] if t[j] - t[i] <= 63]
+    assert media.landmarks(t, f).tolist() == sorted(want)
+    assert len(media.landmarks(t[:0], f[:0])) == 0
+
+
 def test_quality(docs, rows, empty):
     got = collections.Counter(tuple(r) for r in quality_rules.quality_rules(docs, min_docs=2, host_share=0.1).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
     want = collections.Counter()
