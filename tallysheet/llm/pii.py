@@ -170,7 +170,7 @@ KINDS = (
 )
 PATTERN = re.compile("|".join(f"(?P<{k}>{p.replace(chr(92) + '1', '(?P=ymd)').replace(chr(92) + '2', '(?P=dmy)').replace('([-/.])', '(?P<ymd>[-/.])', 1).replace('([-/.])', '(?P<dmy>[-/.])', 1)})" for k, p, _ in KINDS))
 #: Every kind has one of these; most texts have none.
-HINT = re.compile(r"\d|@|[=:]\s*[\"']?\w{8}")
+HINT = re.compile(r"\d|@|[=:]\s*[\"']?[A-Za-z0-9_./+-]{8}|A[KS]IA[0-9A-Z]{16}")
 REPLACE = {k: f for k, _, f in KINDS}
 
 
