@@ -47,6 +47,19 @@ def released(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of a filter of ids, in words of 64.
+FILTER_BITS = 1 << 23
+
+
+def in_filter(rows: DataFrame, id_col: str, ids: DataFrame, ids_col: str, flag: str) -> DataFrame:
+    """rows with a flag: false for rows whose id isn't in ids, true for the others and a few more. A broadcast of FILTER_BITS bits, whatever the number of ids; a full filter flags all."""
+    word = lambda c: F.shiftright(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)), 6).cast("int")
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {FILTER_BITS}) % 64 as int))")
+    field = ids.groupBy(word(ids_col).alias("_gone_word")).agg(F.bit_or(bit(f"`{ids_col}`")).alias("_gone_bits"))
+    met = rows.join(F.broadcast(field), word(id_col) == F.col("_gone_word"), "left")
+    return met.withColumn(flag, F.coalesce(F.col("_gone_bits").bitwiseAND(bit(f"`{id_col}`")) != 0, F.lit(False))).drop("_gone_word", "_gone_bits")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8 with A-Z lower-cased. (bytes.lower and bytes.split know ASCII only.)"""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

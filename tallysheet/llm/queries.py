@@ -65,7 +65,8 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "n_sentences", "n_removed")
+    """Spans of three sentences and 25 words or more; a row for each document, with what is left of its text."""
+    return drop_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "n_removed")
 
 
 OP2_SQL = r"""

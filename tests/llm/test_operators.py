@@ -10,37 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallysheet.llm import bpe, brown, components, importance, jaccard, langid, media, packing, pii, quality_rules, spans
+from tallysheet.llm import bpe, brown, components, importance, jaccard, langid, media, packing, pii, quality_rules
 from tallysheet.llm.bpe_corpus import encode_corpus, encode_word
-from tallysheet.session import ship
-
-WORDS = "the of and thereof wonder thing ation under straße être año lumière berg keit 12 x_y don't".split()
-
-
-def text_of(r, n):
-    return " ".join(r.choice(WORDS) + r.choice(["", "", "", ".", ",", "\n"]) for _ in range(n))
-
-
-@pytest.fixture(scope="module")
-def rows():
-    r = random.Random(5)
-    base = [text_of(r, n) for n in (3, 60, 80, 120, 200, 400)]
-    near = [" ".join(w if r.random() > 0.02 else "edit" for w in base[4].split(" ")) for _ in range(12)]
-    texts = [None, "", "   \n ", "one", "one two", "Straße 🙂 ½ x² \x1c a__b", "w " * 5000, base[1], base[1], *base, *near, base[2] + "\n" + base[5]]
-    out = [(i, t, ["en", "de", "fr", None][i % 4], f"h{i % 3}", i) for i, t in enumerate(texts)]
-    return [*out, out[7], (None, base[3], None, None, None)]
-
-
-@pytest.fixture(scope="module")
-def docs(spark, rows):
-    ship(spark)
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-
-
-@pytest.fixture(scope="module")
-def empty(docs):
-    return docs.limit(0)
-
 
 def test_media(docs, rows, empty):
     got = media.media_columns(docs).collect()
@@ -287,75 +258,6 @@ def test_exchange_gains():
     assert len(set(of[:5])) == len(set(of[5:])) == 1 and of[0] != of[5]
 
 
-def brute_repeats(rows, min_words):
-    seen, out = {}, {}
-    order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
-    for i, t, *_ in order:
-        for h, a, b in spans.spans(t or "", min_words)[1]:
-            seen.setdefault(h, (i, a))
-    for i, t, *_ in rows:
-        gone = [] if i is None else [x for x in spans.spans(t or "", min_words)[1] if seen[x[0]] != (i, x[1])]
-        out[i] = spans.without(t, gone, min_words, 30)[0]
-    return out
-
-
-@pytest.mark.parametrize("held", [1_000_000, 10])
-def test_repeats(docs, rows, empty, held, monkeypatch):
-    monkeypatch.setattr(spans, "HELD", held)
-    want = brute_repeats(rows, 40)
-    got = spans.drop_repeats(docs.withColumn("n_removed", F.lit("old"))).collect()
-    assert len(got) == len(rows)
-    assert all(r["text"] == want[r["doc_id"]] for r in got)
-    assert sum(r["n_removed"] for r in got) > 0
-    assert spans.drop_repeats(empty).count() == 0
-
-
-def test_passage_is_covered():
-    r = random.Random(9)
-    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "."
-    for sizes in ((51,), (26, 25), (20, 12, 20), (5, 50), (120,), (10, 10, 10, 10, 11)):
-        passage = " ".join(say(n) for n in sizes)
-        a, b = f"{say(20)} {say(9)}\n{passage} {say(12)}", f"{say(31)} {passage}\n{say(8)} {say(7)}"
-        first = {x[0] for x in spans.spans(a)[1]}
-        left = spans.without(b, [x for x in spans.spans(b)[1] if x[0] in first], 40, 30)[0]
-        assert passage[:40] not in left and passage[-40:] not in left, sizes
-        assert b.split("\n")[0].split(".")[0] in left and b.split(".")[-2].strip() in left
-
-
-def test_passage_within_sentences_goes_whole(spark):
-    r = random.Random(10)
-    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
-    for sizes in ((51,), (26, 25), (12, 13, 14, 12), (5, 41, 6)):
-        passage = ". ".join(say(n) for n in sizes)
-        d = [(1, f"{say(9)}. {say(5)} {passage} {say(6)}. {say(30)}."), (2, f"{say(40)}. {say(17)} {passage} {say(11)}. {say(4)}."), (3, say(90) + ".")]
-        got = {x["doc_id"]: x for x in spans.drop_repeats(spark.createDataFrame(d, "doc_id long, text string")).collect()}
-        assert got[1]["text"] == d[0][1] and got[3]["text"] == d[2][1]
-        assert got[2]["text"] == d[1][1].replace(passage + " ", ""), sizes
-        assert [got[i]["n_removed"] > 0 for i in (1, 2, 3)] == [False, True, False]
-
-
-def test_cuts_of_long_sentences_do_not_matter():
-    r = random.Random(11)
-    say = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
-    passage = say(70)
-    first = {x[0] for x in spans.spans(" ".join([*say(40), *passage, *say(50)]))[1]}
-    for offset in range(31):
-        before, after = say(offset), say(40)
-        text = " ".join([*before, *passage, *after])
-        assert spans.without(text, [x for x in spans.spans(text)[1] if x[0] in first], 40, 30)[0].split() == before + after
-    for gap in (" ", "  ", "\t", " \t "):
-        assert [len(spans.sentences(gap.join(passage[:n]))) for n in (20, 30, 31, 70)] == [1, 1, 2, 3]
-
-
-def test_overlapping_repeat_leaves_the_first():
-    for period in (1, 3, 17):
-        words = [f"w{i % period}" for i in range(500)]
-        text, runs = " ".join(words), spans.spans(" ".join(words))[1]
-        seen = {}
-        gone = [x for x in runs if seen.setdefault(x[0], x[1]) != x[1]]
-        assert spans.without(text, gone, 40, 30)[0].split() == words[:40]
-
-
 def test_pipeline(spark, docs, rows):
     import corpus_pipeline as p
 
