@@ -39,9 +39,13 @@ class Block:
         self.places: list[np.ndarray] = []
         self.ids: list[int | None] = []
         self.chars = 0
+        self.check = 0
 
-    def add(self, doc_id: int | None, words: list, chars: int) -> None:
-        numbers = self.numbers
+    def add(self, doc_id: int | None, words: list, text: str) -> None:
+        import xxhash
+
+        numbers, chars = self.numbers, len(text)
+        self.check = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.check ^ ((doc_id or 0) & (2**64 - 1)))
         for w in words:
             if w not in numbers:
                 numbers[w] = len(numbers)
@@ -59,7 +63,7 @@ def blocks(batches: Iterator[pa.RecordBatch], words_of: Callable[[str | None], l
             if block.ids and block.chars + len(t) > block_chars:
                 yield block
                 block = Block()
-            block.add(doc_id, words_of(t), len(t))
+            block.add(doc_id, words_of(t), t)
     if block.ids:
         yield block
 
@@ -98,20 +102,24 @@ def unpack_parts(b: bytes) -> list[bytes]:
 PLACES = "block long, doc_ids array<long>, lengths array<int>, numbers binary, shards binary"
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def places(docs: DataFrame, words_of: Callable[[str | None], list], block_chars: int = BLOCK_CHARS, shards: int = 1) -> DataFrame:
-    """A row for each block: its documents, how many words each has, the words' numbers in order, and the shard of each number's word."""
+    """A row for each block: its documents, how many words each has, the words' numbers in order, the shard of each number's word, and check, a hash of its rows in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, block in enumerate(blocks(batches, words_of, block_chars)):
             numbers = np.concatenate(block.places) if block.places else np.empty(0, np.uint32)
             own = pack_numbers(shard_of(list(block.numbers), shards)) if shards > 1 else b""
-            yield pa.RecordBatch.from_arrays([pa.array([block_key(i)]), pa.array([block.ids], pa.list_(pa.int64())), pa.array([[len(p) for p in block.places]], pa.list_(pa.int32())), pa.array([pack_numbers(numbers)], pa.binary()), pa.array([own], pa.binary())], ["block", "doc_ids", "lengths", "numbers", "shards"])
+            yield pa.RecordBatch.from_arrays([pa.array([block_key(i)]), pa.array([block.ids], pa.list_(pa.int64())), pa.array([[len(p) for p in block.places]], pa.list_(pa.int32())), pa.array([pack_numbers(numbers)], pa.binary()), pa.array([own], pa.binary()), pa.array([signed(block.check)])], ["block", "doc_ids", "lengths", "numbers", "shards", "check"])
 
-    return docs.mapInArrow(run, PLACES)
+    return docs.mapInArrow(run, PLACES + ", check long")
 
 
 def word_shards(docs: DataFrame, words_of: Callable[[str | None], list], shards: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(shard, block, words): a block's distinct words of one shard, by number, packed."""
+    """(shard, block, check, words): a block's distinct words of one shard, by number, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, block in enumerate(blocks(batches, words_of, block_chars)):
@@ -121,57 +129,43 @@ def word_shards(docs: DataFrame, words_of: Callable[[str | None], list], shards:
             found, starts = np.unique(own[order], return_index=True)
             ends = [*starts[1:].tolist(), len(order)]
             rows = [pack_parts([w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in map(words.__getitem__, order[x:y].tolist())]) for x, y in zip(starts.tolist(), ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), key)), pa.array(rows, pa.binary())], ["shard", "block", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), key)), pa.array(np.full(len(found), signed(block.check))), pa.array(rows, pa.binary())], ["shard", "block", "check", "words"])
 
-    return docs.mapInArrow(run, "shard int, block long, words binary")
+    return docs.mapInArrow(run, "shard int, block long, check long, words binary")
 
 
-def distinct_words(docs: DataFrame, words_of: Callable[[str | None], list], block_chars: int = BLOCK_CHARS, weight: Callable[[int | None], int] | None = None) -> DataFrame:
-    """(block, number, word) for each distinct word of each block; with weight also n, the sum of its places' weights by document."""
+def whole_blocks(docs: DataFrame, words_of: Callable[[str | None], list], shards: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each block, from one scan: its documents, the numbers of their words in order, the shard of each number's word, and the words of each shard by number, packed. To be staged, so that places and words stay together whatever order rows come in when read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, block in enumerate(blocks(batches, words_of, block_chars)):
-            words, key = list(block.numbers), block_key(i)
-            total = np.zeros(len(words), np.int64)
-            if weight:
-                for doc_id, p in zip(block.ids, block.places, strict=True):
-                    if w := weight(doc_id):
-                        total += w * np.bincount(p, minlength=len(words)) if len(p) > len(words) // 8 else 0
-                        if len(p) <= len(words) // 8:
-                            np.add.at(total, p, w)
-            for at in range(0, len(words), 100_000):
-                part = words[at : at + 100_000]
-                raw = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in part]
-                cols = [pa.array(np.full(len(part), key)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(raw, pa.binary())]
-                names = ["block", "number", "word"]
-                if weight:
-                    cols.append(pa.array(total[at : at + len(part)]))
-                    names.append("n")
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    return docs.mapInArrow(run, "block long, number int, word binary" + (", n long" if weight else ""))
-
-
-def reassembled(values: DataFrame, blocks_of: DataFrame, finish: Callable[[pa.Table, np.ndarray, list, np.ndarray], pa.Table], ddl: str) -> DataFrame:
-    """finish(values, word numbers, doc_ids, lengths) for each block, as rows of ddl. A group is one block, so it is bounded.
-
-    values: those of each number in order. Rows (block, number, ...) are sorted; rows (block, shard, parts) of packed
-    parts are unpacked to a list by number.
+            words = list(block.numbers)
+            own = shard_of(words, shards)
+            order = np.argsort(own, kind="stable")
+            found, starts = np.unique(own[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(order)]
+            parts = [{"shard": int(k), "words": pack_parts(list(map(words.__getitem__, order[x:y].tolist())))} for k, x, y in zip(found, starts.tolist(), ends, strict=True)]
+            cols = [pa.array([block_key(i)]), pa.array([block.ids], pa.list_(pa.int64())), pa.array([[len(p) for p in block.places]], pa.list_(pa.int32())), pa.array([pack_numbers(np.concatenate(block.places))], pa.binary()), pa.array([pack_numbers(own)], pa.binary()), pa.array([parts], pa.list_(pa.struct([("shard", pa.int32()), ("words", pa.binary())])))]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "doc_ids", "lengths", "numbers", "shards", "parts"])
+
+    return docs.mapInArrow(run, PLACES + ", parts array<struct<shard: int, words: binary>>")
+
+
+def reassembled(values: DataFrame, blocks_of: DataFrame, finish: Callable[[list, np.ndarray, list, np.ndarray], pa.Table], ddl: str) -> DataFrame:
+    """finish(values by number, word numbers, doc_ids, lengths) for each block, as rows of ddl. A group is one block, so it is bounded.
+
+    Rows (block, shard, check, parts) of packed values are put in the order of numbers. Words and places come from two
+    scans: where the rows of a block came in another order in one of them, check differs and the task fails; no value can get to another word's place.
     """
 
     def run(v: pa.Table, p: pa.Table) -> pa.Table:
-        tables = []
-        if "number" in v.column_names:
-            v = v.sort_by("number")
-        for r in range(len(p)):
-            if "shard" in v.column_names:
-                order = np.argsort(unpack_numbers(p["shards"][r].as_py()), kind="stable").tolist()
-                v = v.sort_by("shard")
-                listed: list[bytes] = [b""] * len(order)
-                for at, part in zip(order, (x for packed in v["parts"] for x in unpack_parts(packed.as_py())), strict=True):
-                    listed[at] = part
-                v = listed
-            tables.append(finish(v, unpack_numbers(p["numbers"][r].as_py()), p["doc_ids"][r].as_py(), p["lengths"][r].values.to_numpy()))
-        return pa.concat_tables(tables)
+        if len(p) != 1 or set(v["check"].to_pylist()) - set(p["check"].to_pylist()):
+            raise RuntimeError("a block's rows came in another order when they were read again: stage the input first")
+        order = np.argsort(unpack_numbers(p["shards"][0].as_py()), kind="stable").tolist()
+        v = v.sort_by("shard")
+        listed: list[bytes] = [b""] * len(order)
+        for at, part in zip(order, (x for packed in v["parts"] for x in unpack_parts(packed.as_py())), strict=True):
+            listed[at] = part
+        return finish(listed, unpack_numbers(p["numbers"][0].as_py()), p["doc_ids"][0].as_py(), p["lengths"][0].values.to_numpy())
 
     return values.groupBy("block").cogroup(blocks_of.groupBy("block")).applyInArrow(run, ddl)

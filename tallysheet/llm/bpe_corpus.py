@@ -85,16 +85,16 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, last, known = bpe.ranks_of(path), None, {}
         for b in batches:
-            for shard, block, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for shard, block, check, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if shard != last:
                     last, known = shard, {}
                 words = unpack_parts(packed.as_py())
                 for w in words:
                     if w not in known:
                         known[w] = np.array(encode_word(w, ranks), "<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([pack_parts([known[w] for w in words])], pa.binary())], ["block", "shard", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([check.as_py()], pa.int64()), pa.array([pack_parts([known[w] for w in words])], pa.binary())], ["block", "shard", "check", "parts"])
 
-    encoded = word_shards(docs, words_of, shards, block_chars).repartition("shard").sortWithinPartitions("shard").mapInArrow(encode, "block long, shard int, parts binary")
+    encoded = word_shards(docs, words_of, shards, block_chars).repartition("shard").sortWithinPartitions("shard").mapInArrow(encode, "block long, shard int, check long, parts binary")
 
     def finish(ids_of: list[bytes], numbers: np.ndarray, doc_ids: list, lengths: np.ndarray) -> pa.Table:
         table = token_bytes(path)

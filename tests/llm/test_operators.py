@@ -238,6 +238,68 @@ def test_language_model(spark, docs, rows, empty):
     assert {(r["train_tokens"], r["score"]) for r in none} == {(0, 0.0)}
 
 
+def brute_scores(rows, core, known_words, classes, sweeps, weight):
+    """Token by token, in dictionaries; only the exact exchange of the core is the operator's (see test_exchange_gains)."""
+    texts = [(i, [w for w in (t or "").encode().lower().split()] + [b""]) for i, t, *_ in rows]
+    train = [w for i, w in texts if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+    count = collections.Counter(x for w in train for x in w)
+    n, v = sum(count.values()), len(count)
+    words = [b"", *sorted((w for w in count if w), key=lambda w: (-count[w], w))[: max(core, known_words)]]
+    heart = words[: core + 1]
+    pairs = [(w[k - 1], x) for w in train for k, x in enumerate(w)]
+    bigrams = np.zeros((len(heart), len(heart)))
+    for a, b in pairs:
+        if a in heart and b in heart:
+            bigrams[heart.index(a), heart.index(b)] += 1
+    of = dict(zip(heart, brown.exchange(bigrams, classes).tolist(), strict=True))
+    table = [[sum(bigrams[i, j] for i, a in enumerate(heart) for j, b in enumerate(heart) if of[a] == x and of[b] == y) for y in range(classes)] for x in range(classes)]
+    known, fixed = dict(of), dict(of)
+    for _ in range(sweeps):
+        rows_of, cols_of = [sum(r) for r in table], [sum(r[c] for r in table) for c in range(classes)]
+        near = {w: ([], []) for w in [*count, None]}  # None: any unknown word
+        for a, b in pairs:
+            if a in known:
+                near[b][0].append(known[a])
+            if b in known:
+                near[a][1].append(known[b])
+
+        def likelihood(w, c):
+            x = sum(math.log((table[a][c] + 0.5) / (cols_of[c] + 0.5 * classes)) for a in near[w][0])
+            x += sum(math.log((table[c][b] + 0.5) / (rows_of[c] + 0.5 * classes)) for b in near[w][1])
+            return round(x + 1e-3 * math.log((cols_of[c] + 1) / (sum(cols_of) + classes)), 6)
+
+        g = {w: fixed[w] if w in fixed else max(range(classes), key=lambda c: (likelihood(w, c), -c)) for w in [*count, None]}
+        table = [[0] * classes for _ in range(classes)]
+        for a, b in pairs:
+            # A known neighbour counts at the class it had when the sweep began.
+            if a in known:
+                table[known[a]][g[b]] += 1
+            elif b in known:
+                table[g[a]][known[b]] += 1
+        known = {w: g[w] for w in words}
+    emitted, once = [sum(count[w] for w in count if g[w] == c) for c in range(classes)], [sum(count[w] == 1 for w in count if g[w] == c) for c in range(classes)]
+    move = [[(table[a][b] + 0.1) / (sum(table[a]) + 0.1 * classes) for b in range(classes)] for a in range(classes)]
+    room = [max(1, e + o) for e, o in zip(emitted, once, strict=True)]
+    out = []
+    for i, w in texts:
+        score = 0.0
+        for k, x in enumerate(w):
+            before = g[b""] if k == 0 else g.get(w[k - 1], g[None])
+            own = move[before][g[x]] * count[x] / room[g[x]] if count[x] else sum(move[before][c] * once[c] / room[c] for c in range(classes))
+            score += math.log10(weight * own + (1 - weight) * (count[x] + 1) / (n + v + 1))
+        out.append((-1 if i is None else i, round(score, 6)))
+    return sorted(out), sum(table, [])
+
+
+@pytest.mark.parametrize("block_chars", [700, 10_000_000])
+def test_language_model_against_brute_force(docs, rows, block_chars):
+    want, table = brute_scores(rows, 6, 15, 4, 2, 0.8)
+    got = brown.score_corpus(docs.withColumn("score", F.lit("old")).withColumn("block", F.lit(1)), core=6, known_words=15, classes=4, sweeps=2, weight=0.8, block_chars=block_chars).collect()
+    have = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)
+    assert [i for i, _ in have] == [i for i, _ in want] and [x for _, x in have] == pytest.approx([x for _, x in want])
+    assert sum(t > 0 for t in table) > 4
+
+
 def test_model_is_proper():
     r = np.random.default_rng(1)
     bigrams = r.integers(0, 9, (12, 12)).astype(float)
@@ -245,12 +307,19 @@ def test_model_is_proper():
     hot = np.eye(4)[of]
     table = hot.T @ bigrams @ hot
     words, once = bigrams.sum(axis=0), np.array([1.0, 0, 2, 1])
-    m = brown.Model(None, of, (table + 0.1) / (table.sum(axis=1, keepdims=True) + 0.4), table.sum(axis=0), once, int(words.sum()), 12, 0.9)
+    m = brown.Model((table + 0.1) / (table.sum(axis=1, keepdims=True) + 0.4), table.sum(axis=0), once, 0, int(words.sum()), 12, 0.9)
     for before in range(4):
         c, g = np.append(words, 0), np.append(of, 0)
         assert abs(m.probabilities(c, g, np.full(13, before)).sum() - 1) < 1e-9
 
 
+def test_every_word_moves_to_its_contexts():
+    """Words of two kinds in alternation: each kind is a class, also words that stand once."""
+    table = np.array([[0.0, 50], [50, 0]])
+    near = np.array([[0, 1, 0, 1], [1, 0, 1, 0], [3, 9, 2, 8], [0, 0, 0, 0]])
+    assert brown.best_classes(near, table)[:3].tolist() == [0, 1, 0]
+
+
 def test_exchange_gains():
     r = np.random.default_rng(2)
     bigrams = np.kron(np.array([[9.0, 1], [1, 9]]), np.ones((5, 5))) + r.random((10, 10))
