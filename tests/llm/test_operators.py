@@ -277,6 +277,9 @@ def brute_scores(rows, core, known_words, classes, sweeps, weight):
             elif b in known:
                 table[g[a]][known[b]] += 1
         known = {w: g[w] for w in words}
+    table = [[0] * classes for _ in range(classes)]
+    for a, b in pairs:
+        table[g[a]][g[b]] += 1
     emitted, once = [sum(count[w] for w in count if g[w] == c) for c in range(classes)], [sum(count[w] == 1 for w in count if g[w] == c) for c in range(classes)]
     move = [[(table[a][b] + 0.1) / (sum(table[a]) + 0.1 * classes) for b in range(classes)] for a in range(classes)]
     room = [max(1, e + o) for e, o in zip(emitted, once, strict=True)]
