@@ -53,13 +53,29 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit integers, by the model of a tokenizers file. At most `most` words are remembered."""
+    """Word -> its ids as little-endian 32-bit integers, by the model of a tokenizers file. At most `most` words are remembered.
+
+    special: the file's added tokens (such as <|endoftext|>), whose strings are one id each wherever they stand in a text,
+    as the tokenizers library has it unless encode_special_tokens is set.
+    """
 
     def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.model, self.letters, self.most = Tokenizer.from_file(path).model, byte_letters(), most
+        tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.most = tokenizer.model, byte_letters(), most
+        self.special = {t.content: struct.pack("<I", i) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        plain = all(not (t.single_word or t.lstrip or t.rstrip or t.normalized) for t in tokenizer.get_added_tokens_decoder().values())
+        if not plain:
+            raise ValueError("added tokens that strip or match whole words only aren't supported")
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def of_text(self, text: str, pat: str, special_strings: bool = True) -> bytes:
+        """The ids of a text; with special_strings, the strings of added tokens are their ids."""
+        if special_strings and self.cut is not None and self.cut.search(text):
+            return b"".join(self.special[x] if x in self.special else self.of_text(x, pat, False) for x in self.cut.split(text) if x)
+        return b"".join(map(self.__getitem__, pretokens(text, pat)))
 
     def __missing__(self, word: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))]

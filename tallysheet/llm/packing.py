@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysheet.llm.bpe import default_path, pattern, pretokens, word_ids
+from tallysheet.llm.bpe import default_path, pattern, word_ids
 from tallysheet.llm.common import columns
 
 LENGTH, END = 2048, (1).to_bytes(4, "little")
@@ -46,48 +46,51 @@ def first_fit_decreasing(lengths: list[int], size: int) -> list[tuple[int, int]]
     return out
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
-def cut(docs: DataFrame, id_col: str, text_col: str, path: str, length: int) -> DataFrame:
-    """The pieces of each document: full ones, then what is left. row: the document's place in its task."""
+def cut(docs: DataFrame, id_col: str, text_col: str, path: str, length: int, special_strings: bool) -> DataFrame:
+    """The pieces of each document: full ones, then what is left."""
     pat = pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, row, wide = word_ids(path), 0, 4 * length
+        ids_of, wide = word_ids(path), 4 * length
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = b"".join(map(ids_of.__getitem__, pretokens(text.as_py() or "", pat))) + END
+                ids = ids_of.of_text(text.as_py() or "", pat, special_strings) + END
                 for at in range(0, len(ids), wide):
                     piece = ids[at : at + wide]
-                    for column, v in zip(out, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, row), strict=True):
+                    for column, v in zip(out, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4), strict=True):
                         column.append(v)
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return columns(docs, id_col, text_col).selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, PIECES)
+    return columns(docs, *dict.fromkeys([id_col, text_col])).selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_docs: int = 4096, seed: int = 29, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_pieces: int = 4096, seed: int = 29, path: str | None = None, special_strings: bool = True) -> DataFrame:
     """One row for each piece of a document: where it starts there, its ids' checksum, and its place in a sequence.
 
-    Ids are those of the byte-level vocabulary in path (no special tokens; their strings are ordinary text), then id 1.
-    Documents are dealt at random into groups of about group_docs; each group is packed on its own by first-fit
+    Ids are those of the byte-level vocabulary in path, as the tokenizers library gives them without special tokens of its own, then id
+    1. The strings of the file's added tokens in a text are those tokens; with special_strings=False they are ordinary text.
+    Pieces are dealt by a hash of their document, place and content into groups of about group_pieces, so that neither a book nor copies of one fill a
+    group, and another split of the files gives the same packing; each group is packed on its own by first-fit
     decreasing, so that no task needs another's free space. Full pieces fill a sequence alone. sequence_id is
     the group's number in the upper 32 bits and the sequence's within it in the lower. Sequences are padded to
     length, except at a power of two; sequence_tokens says how much of one is used.
 
-    A null or empty text is id 1 alone. Repeated rows are packed once each and dealt apart. A null id stays null; an
-    empty table gives no rows. Other columns are left out. Only pieces are shuffled (six numbers), never ids.
+    A null or empty text is id 1 alone. Repeated rows are packed once each. A null id stays null; an
+    empty table gives no rows. Other columns are left out. Only pieces are shuffled (five numbers), never ids. Counts rows and
+    characters while the DataFrame is being built, for the number of groups.
     """
-    groups = max(1, -(-docs.count() // group_docs))
-    pieces = cut(docs, id_col, text_col, path or default_path("byte_bpe_50k.json"), length)
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row"), F.lit(groups)))
+    n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length(F.col(f"`{text_col}`").cast("string")))).first()
+    groups = max(1, -(-(n + (chars or 0) // (3 * length)) // group_pieces))
+    pieces = cut(docs, id_col, text_col, path or default_path("byte_bpe_50k.json"), length, special_strings)
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")])
+        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         placed = first_fit_decreasing(t["length"].to_pylist(), length)
         used: dict[int, int] = {}
         for (at, offset), n in zip(placed, t["length"].to_pylist(), strict=True):
