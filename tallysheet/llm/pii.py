@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 import string
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tallysheet.llm.common import columns
 
@@ -109,7 +111,7 @@ def iban(s: str, key: bytes) -> str | None:
     """Country, then check digits by mod 97: the account is permuted and the check computed anew."""
     d = s.replace(" ", "")
     num = lambda x: int("".join(str(int(c, 36)) for c in x))
-    if not 15 <= len(d) <= 34 or num(d[4:] + d[:4]) % 97 != 1:
+    if not 15 <= len(d) <= 34 or not 2 <= int(d[2:4]) <= 98 or num(d[4:] + d[:4]) % 97 != 1:
         return None
     account = same_classes(d[4:], key, b"iban" + d[:2].encode())
     new = d[:2] + str(98 - num(account + d[:2] + "00") % 97).zfill(2) + account
@@ -117,28 +119,40 @@ def iban(s: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(it) for c in s)
 
 
-FIRST, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
+FIRST_YEAR, YEARS = 1900, 200
+
+
+def is_day(year: int, month: int, day: int) -> bool:
+    try:
+        datetime.date(year, month, day)
+    except ValueError:
+        return False
+    return FIRST_YEAR <= year < FIRST_YEAR + YEARS
 
 
 def date(s: str, key: bytes) -> str | None:
-    """A day from 1900 to 2099 in its own layout (year first, or day first, else month first); the result is a day of that range."""
+    """A day from 1900 to 2099: year first, or day and month in either order, with one or two digits each.
+
+    All texts of one layout (order and digits) that are such a day are permuted among themselves, so that two different
+    dates of a layout have different pseudonyms, and the digits and separators stay where they are.
+    """
     a, sep1, b, sep2, c = re.fullmatch(r"(\d+)([-/.])(\d+)([-/.])(\d+)", s).groups()
     if sep1 != sep2:
         return None
-    for order in ("ymd",) if len(a) == 4 else ("dmy", "mdy"):
-        try:
-            day = datetime.date(*(int(dict(zip(order, (a, b, c), strict=True))[k]) for k in "ymd"))
-        except ValueError:
-            continue
-        if not 0 <= (day - FIRST).days < DAYS:
-            return None
-        x = (day - FIRST).days
-        while True:
-            x = feistel(x, DAYS, key, b"date")
-            new = FIRST + datetime.timedelta(x)
-            out = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-            return sep1.join(out[k] for k in order)
-    return None
+    first = len(a) == 4
+    year, x, y = (a, b, c) if first else (c, a, b)
+    ok = (lambda t, x, y: is_day(t, x, y)) if first else (lambda t, x, y: is_day(t, y, x) or is_day(t, x, y))
+    # Two digits are 01 to 31, one is 1 to 9.
+    nx, ny = (31 if len(v) == 2 else 9 for v in (x, y))
+    if not ok(int(year), int(x), int(y)):
+        return None
+    tweak, v = f"date{first}{nx},{ny}".encode(), ((int(year) - FIRST_YEAR) * nx + int(x) - 1) * ny + int(y) - 1
+    while True:  # walked until it is a day again
+        v = feistel(v, YEARS * nx * ny, key, tweak)
+        t, u, w = FIRST_YEAR + v // (nx * ny), v // ny % nx + 1, v % ny + 1
+        if ok(t, u, w):
+            u, w = (f"{n:02d}" if size == 31 else str(n) for n, size in ((u, nx), (w, ny)))
+            return sep1.join((str(t), u, w) if first else (u, w, str(t)))
 
 
 def email(s: str, key: bytes) -> str | None:
@@ -153,8 +167,14 @@ def access_key(s: str, key: bytes) -> str | None:
 
 
 def secret(s: str, key: bytes) -> str | None:
+    """Class by class; a value of hexadecimal digits stays one, and no other becomes one."""
     head, value = re.fullmatch(r"(?s)(.*?[=:]\s*[\"']?)([^\"'\s]+)", s).groups()
-    return head + same_classes(value, key, b"secret", hex_digits=re.fullmatch("[0-9a-f]+", value) is not None)
+    is_hex = lambda v: re.fullmatch("[0-9a-f]+", v) is not None
+    hex_digits = is_hex(value)
+    while True:
+        value = same_classes(value, key, b"secret", hex_digits)
+        if is_hex(value) == hex_digits:
+            return head + value
 
 
 KINDS = (
@@ -176,9 +196,24 @@ REPLACE = {k: f for k, _, f in KINDS}
 
 @lru_cache(maxsize=50_000)
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
-    """The replacement of a value; None if it isn't valid for its kind."""
-    new = REPLACE[kind](value, key)
-    return new if new != value or new is None else REPLACE[kind](new, key + b"'")
+    """The replacement of a value; None if it isn't valid for its kind. As in any permutation, a value may be its own image."""
+    return REPLACE[kind](value, key)
+
+
+#: The Spark setting that has the key.
+KEY_SETTING = "spark.tallysheet.pseudonymKey"
+_OWN: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key of the session's setting. Where that is unset, a random one for this application: pseudonyms are then linked across its documents, but not with those of another run."""
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key.encode()
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms of this run have a key of their own", stacklevel=2)
+        _OWN[app] = secrets.token_bytes(32)
+    return _OWN[app]
 
 
 def private_spans(text: str) -> list[tuple[int, int, str]]:
@@ -199,17 +234,22 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[str]]:
     return "".join([*out, text[at:]]), kinds
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"tallysheet", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """docs with text_col's private values replaced, and n_private (long) and private_kinds (sorted, by comma) added.
 
     Card numbers (check digit), bank accounts (mod 97), social security numbers, IPv4 addresses, dates and phone numbers
     are validated; e-mail addresses, access keys and passwords or tokens are found by form. Each is permuted by a Feistel
     network keyed by key and kind, within its format and valid again. Equal values get equal pseudonyms in
-    all documents, different ones different pseudonyms. The rest of the text stays.
+    all documents, different values of a kind and format different ones. The rest of the text stays.
+
+    Who has the key can invert this: keep it out of code (see key_of). It may have any length but 0.
 
     A null text stays null (n_private 0). Other columns stay as they are; columns that are named like an added one are
     replaced. Repeated rows give repeated rows. One map, no shuffle.
     """
+    if not key:
+        raise ValueError("a key is needed")
+    key = hashlib.blake2b(key, digest_size=32).digest()
     keep = [c for c in docs.columns if c not in ("n_private", "private_kinds")]
     docs = columns(docs, *keep)
     schema, at = docs.schema, keep.index(text_col)

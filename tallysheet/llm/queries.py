@@ -13,16 +13,18 @@ from tallysheet.llm.jaccard import jaccard_join
 from tallysheet.llm.langid import identify
 from tallysheet.llm.media import media_columns
 from tallysheet.llm.packing import pack
-from tallysheet.llm.pii import pseudonymise
+from tallysheet.llm.pii import key_of, pseudonymise
 from tallysheet.llm.quality_rules import quality_rules
 from tallysheet.llm.spans import drop_repeats
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(documents(spark, sf_dir), outputs=False).drop("media", "landmarks")
+    """Each text as a WAV file in a column, with its fingerprint."""
+    return media_columns(documents(spark, sf_dir))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its source."""
     return quality_rules(documents(spark, sf_dir))
 
 
@@ -35,11 +37,13 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 ids."""
     return pack(documents(spark, sf_dir))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    """The key is that of the session's setting, see key_of."""
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key_of(spark))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +55,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the bytes decoded from them."""
     return encode_corpus(documents(spark, sf_dir), outputs=False).drop("ids", "decoded")
 
 

@@ -1,17 +1,16 @@
 """Rows that all corpus operators are tested on: nulls, empty, long and repeated texts, ties, copies, and columns with clashing names."""
 
+import os
 import random
+import sys
 
 import pytest
 
 from tallysheet.session import ship
 
-WORDS = "the of and thereof wonder thing ation under straße être año lumière berg keit 12 x_y don't".split()
-
-
-def text_of(r, n):
-    return " ".join(r.choice(WORDS) + r.choice(["", "", "", ".", ",", "\n"]) for _ in range(n))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from corpus_texts import text_of  # noqa: E402
 
 @pytest.fixture(scope="session")
 def rows():

@@ -8,11 +8,13 @@ import zlib
 
 import numpy as np
 import pytest
+from corpus_texts import text_of
 from pyspark.sql import functions as F
 
 from tallysheet.llm import bpe, brown, components, importance, jaccard, langid, media, packing, pii, quality_rules
 from tallysheet.llm.bpe_corpus import encode_corpus, encode_word
 
+
 def test_media(docs, rows, empty):
     got = media.media_columns(docs).collect()
     assert len(got) == len(rows)
@@ -87,26 +89,33 @@ def test_importance(spark, docs, rows, empty):
     assert importance.kth_largest(one, 10, bins=4) == (1.0, 9)
 
 
-def test_packing(docs, rows, empty):
+def test_packing(spark, docs, rows, empty):
     tok = __import__("tokenizers").Tokenizer.from_file(bpe.default_path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    want = collections.Counter()
-    for i, t, *_ in rows:
-        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
-        for at in range(0, len(ids), 2048):
-            piece = np.array(ids[at : at + 2048], "<u4").tobytes()
-            want[i, at, len(piece) // 4, zlib.crc32(piece), len(ids)] += 1
-    got = packing.pack(docs).collect()
-    assert collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
-    by = collections.defaultdict(list)
-    for r in got:
-        by[r["sequence_id"]].append((r["offset"], r["length"]))
-    for pieces in by.values():
-        at = 0
-        for offset, n in sorted(pieces):
-            assert offset == at
-            at += n
-        assert at <= 2048
+    rows = [*rows, (70, "a <|endoftext|> b", None, None, None), (71, "<|endoftext|><|endoftext|>\n<|endoftext", None, None, None), (72, text_of(random.Random(8), 60_000), None, None, None)]
+    docs = spark.createDataFrame(rows, docs.schema).withColumn("grp", F.lit("old")).repartition(5)
+    for special in (True, False):
+        tok.encode_special_tokens = not special
+        want = collections.Counter()
+        for i, t, *_ in rows:
+            ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+            for at in range(0, len(ids), 2048):
+                piece = np.array(ids[at : at + 2048], "<u4").tobytes()
+                want[i, at, len(piece) // 4, zlib.crc32(piece), len(ids)] += 1
+        got = packing.pack(docs, group_pieces=20, special_strings=special).collect()
+        assert collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r["sequence_id"]].append((r["offset"], r["length"]))
+        for pieces in by.values():
+            at = 0
+            for offset, n in sorted(pieces):
+                assert offset == at
+                at += n
+            assert at <= 2048
+        assert len({r["sequence_id"] >> 32 for r in got if r["doc_id"] == 72}) > 1
+    again = packing.pack(docs.repartition(2), group_pieces=20, special_strings=False).collect()
+    place = lambda rs: collections.Counter(tuple(r) for r in rs)
+    assert place(again) == place(got)
     assert packing.pack(empty).count() == 0
 
 
@@ -141,10 +150,72 @@ def test_pii(spark, docs, rows, empty):
     assert collections.Counter(again) == collections.Counter(kinds)  # valid in their formats still
     assert pii.pseudonymised("x " + text, b"k")[0] == "x " + new
     d = docs.withColumn("n_private", F.lit("old"))
-    got = pii.pseudonymise(d).collect()
+    got = pii.pseudonymise(d, b"k").collect()
     assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter((r[0], r[1]) for r in rows)
     assert {r["n_private"] for r in got} == {0}
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, b"k").count() == 0
+
+
+def test_dates_are_permuted_within_their_layout():
+    for first, wx, wy in ((True, 2, 2), (False, 2, 2), (False, 1, 2), (False, 1, 1), (True, 1, 2)):
+        texts = set()
+        for year in (1900, 1999, 2000, 2099):
+            for x in range(1, 32):
+                for y in range(1, 32):
+                    x_y = [str(v).zfill(w) for v, w in ((x, wx), (y, wy))]
+                    if all(len(v) == w for v, w in zip(x_y, (wx, wy), strict=True)):
+                        texts.add("/".join([str(year), *x_y] if first else [*x_y, str(year)]))
+        new = {t: pii.date(t, b"k") for t in texts}
+        valid = {t: n for t, n in new.items() if n is not None}
+        assert len(set(valid.values())) == len(valid) > 300
+        assert all([len(p) for p in t.split("/")] == [len(p) for p in n.split("/")] for t, n in valid.items())
+        assert all(pii.date(n, b"k") is not None for n in valid.values())
+    assert pii.date("30/02/2000", b"k") is None and pii.date("13/13/2000", b"k") is None and pii.date("2101-01-01", b"k") is None
+    assert pii.date("31/12/1999", b"k") is not None and pii.date("12/31/1999", b"k") is not None
+
+
+def test_different_values_have_different_pseudonyms():
+    r = random.Random(4)
+    values = {
+        "ssn": {f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}" for _ in range(3000)},
+        "card": {(b := f"4{r.randrange(10**14):014d}") + pii.luhn_digit(b) for _ in range(3000)},
+        "phone": {f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(0, 9999):04d}" for _ in range(3000)},
+        "ip": {".".join(str(r.randint(0, 255)) for _ in range(4)) for _ in range(3000)},
+        "email": {"".join(r.choice("abAB1.") for _ in range(3)) + f"x@{r.choice('abc')}{r.randint(0, 99)}.com" for _ in range(500)},
+        "secret": {"pwd=" + "".join(r.choice("abcdefxyz019") for _ in range(8)) for _ in range(3000)},
+        "access_key": {"AKIA" + "".join(r.choice("ABC123") for _ in range(16)) for _ in range(500)},
+    }
+    for kind, found in values.items():
+        new = {v: pii.pseudonym(kind, v, b"k" * 64) for v in found}
+        assert None not in new.values() and len(set(new.values())) == len(found), kind
+        assert all(pii.pseudonym(kind, n, b"k" * 64) is not None for n in new.values())
+
+
+def test_values_stay_linked_across_documents(spark):
+    r = random.Random(6)
+    values = [f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{r.randint(1900, 2099)}" for _ in range(30)] + [f"+1 {r.randint(200, 999)} 555 {r.randint(0, 9999):04d}" for _ in range(30)]
+    rows = [(i, f"doc {i} has " + ", ".join(r.sample(values, 4)) + " in it") for i in range(200)]
+    d = spark.createDataFrame([*rows, (None, None), (500, ""), (501, "no such thing " * 100_000 + values[0])], "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: x for x in pii.pseudonymise(d.withColumn("private_kinds", F.lit(0)), b"any key " * 20).collect()}
+    key = hashlib.blake2b(b"any key " * 20, digest_size=32).digest()
+    new = {v: (pii.date if "/" in v else pii.phone)(v, key) for v in values}
+    for i, text in rows:
+        for v, n in new.items():
+            text = text.replace(v, f"\0{n}")
+        assert got[i]["text"] == text.replace("\0", "") and got[i]["n_private"] == 4
+    assert got[None]["text"] is None and got[500]["text"] == "" and got[501]["text"].endswith(new[values[0]])
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymise(d, b"")
+
+
+def test_key_comes_from_the_setting(spark):
+    with pytest.warns(UserWarning, match="unset"):
+        pii._OWN.clear()
+        own = pii.key_of(spark)
+    assert own == pii.key_of(spark) and len(own) == 32
+    spark.conf.set(pii.KEY_SETTING, "abc")
+    assert pii.key_of(spark) == b"abc"
+    spark.conf.unset(pii.KEY_SETTING)
 
 
 def test_private_values_without_digits():
