@@ -13,7 +13,7 @@ from tallysheet.llm.common import documents, staged
 from tallysheet.llm.jaccard import jaccard_join
 from tallysheet.llm.langid import UNKNOWN, identify
 from tallysheet.llm.packing import pack
-from tallysheet.llm.pii import pseudonymise
+from tallysheet.llm.pii import key_of, pseudonymise
 from tallysheet.llm.spans import drop_repeats
 from tallysheet.session import ship
 
@@ -46,7 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces private values by pseudonyms of their format; every document stays."""
     ship(spark)
-    return _as_documents(pseudonymise(docs), docs)
+    return _as_documents(pseudonymise(docs, key_of(spark)), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
