@@ -6,20 +6,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysheet.llm.common import columns, kept_by_worker, released, staged
+from tallysheet.llm.common import columns, kept_by_worker
 
 TOKEN = re.compile(r"[^\W\d_]+")
 ORDERS = (3, 2, 1)
 UNKNOWN = "und"
-#: Documents that a worker takes at once.
-SLICE = 1000
+#: Documents that a worker takes at once, and words whose scores it holds at once.
+SLICE, AT_ONCE = 1000, 50_000
 
 
 def letters(text: str) -> list[str]:
@@ -32,10 +32,10 @@ def letters(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies (a row for each word or n-gram, a column for each language); n-grams of one order have sorted integer keys."""
+    """Log frequencies (a row for each word or n-gram, a column for each language), by sorted keys: 64-bit hashes of words, packed letters of n-grams."""
 
     languages: list[str]
-    words: dict[str, int]
+    words: np.ndarray
     word_scores: np.ndarray
     keys: dict[int, np.ndarray]
     gram_scores: dict[int, np.ndarray]
@@ -72,34 +72,37 @@ class Model:
         return np.add.reduceat(scores, starts, axis=0)[: len(words)]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        totals = np.zeros((len(texts), len(self.languages)))
-        some, pending, owner = np.zeros(len(texts), bool), [], []
+        totals = np.tile(self.prior, (len(texts), 1))
+        some, pending, owner, begins = np.zeros(len(texts), bool), [], [], []
         for d, text in enumerate(texts):
             tokens = letters(text or "")
             if not tokens:
                 continue
             some[d] = True
-            ids = np.fromiter(map(self.words.get, tokens, repeat(-1)), np.int64, len(tokens))
-            known = ids[ids >= 0]
-            if len(known):
-                totals[d] += self.word_scores[known].sum(axis=0)
-            if len(known) < len(tokens):
-                rare = [tokens[i] for i in np.flatnonzero(ids < 0)]
-                pending += rare
-                owner += [d] * len(rare)
-            if len(pending) > 20_000:
-                self._add(totals, pending, owner)
-                pending, owner = [], []
-        self._add(totals, pending, owner)
-        totals += self.prior
+            owner.append(d)
+            begins.append(len(pending))
+            pending += tokens
+            if len(pending) > AT_ONCE:
+                totals[owner] += np.add.reduceat(self.scores(pending), begins, axis=0)
+                pending, owner, begins = [], [], []
+        if pending:
+            totals[owner] += np.add.reduceat(self.scores(pending), begins, axis=0)
         best = totals.argmax(axis=1)
         odds = np.exp(totals - totals.max(axis=1, keepdims=True))
         score = odds.max(axis=1) / odds.sum(axis=1)
         return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], [float(p) if s else 0.0 for p, s in zip(score, some, strict=True)]
 
-    def _add(self, totals: np.ndarray, words: list[str], owner: list[int]) -> None:
-        if words:
-            np.add.at(totals, np.array(owner), self.unseen(words))
+    def scores(self, tokens: list[str]) -> np.ndarray:
+        """A row for each token: a known word's log frequencies, else what its n-grams say."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+        at = np.minimum(np.searchsorted(self.words, h), max(0, len(self.words) - 1))
+        known = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
+        out = np.zeros((len(tokens), len(self.languages)))
+        out[known] = self.word_scores[at[known]]
+        rare = np.flatnonzero(~known)
+        if len(rare):
+            out[rare] = self.unseen([tokens[i] for i in rare.tolist()])
+        return out
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -125,45 +128,41 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_by: str = "doc_id", max_docs: int = 4000, max_words: int = 40_000, max_grams: int = 8_000, smoothing: float = 0.5, seed: int = 3) -> Model:
-    """A model from labelled rows. Bounds: at most about max_docs documents of each language (those of least hash), and of each language the max_words and max_grams (per order) most frequent entries."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_by: str = "doc_id", max_docs: int = 4000, smoothing: float = 0.5, seed: int = 3) -> Model:
+    """A model from labelled rows: at most about max_docs documents of each language (those of least hash), and all of their words and n-grams."""
     docs = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(order_by).alias("_id"))
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         raise ValueError("no labelled rows to learn from")
     rate = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, max_docs / n)) for k, n in sizes.items()])
     unit = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    found, path = staged(counts(docs.filter(unit < rate).select("lang", "text")), "language-counts")
-    top = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "token")))
-    chosen = top.filter(F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)).select("lang", "kind", "token", "n").toArrow()
-    total = {(r["lang"], r["kind"]): r["n"] for r in found.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-    released(docs.sparkSession, path)
+    found = counts(docs.filter(unit < rate).select("lang", "text")).toArrow()
     languages = sorted(sizes)
-    at = {x: i for i, x in enumerate(languages)}
-    tables: dict[int, dict[str, np.ndarray]] = {0: {}, **{k: {} for k in ORDERS}}
-    for lang, kind, token, n in zip(*[chosen[c].to_pylist() for c in ("lang", "kind", "token", "n")], strict=True):
-        tables[kind].setdefault(token, np.zeros(len(languages)))[at[lang]] = n
+    column = np.searchsorted(np.array(languages, object), np.array(found["lang"].to_pylist(), object))
+    kinds, n = found["kind"].to_numpy(), found["n"].to_numpy()
     scores, keys = {}, {}
-    for kind, table in tables.items():
-        names = sorted(table)
-        n = np.array([table[x] for x in names]).reshape(-1, len(languages))
-        all_n = np.array([total.get((x, kind), 0) for x in languages], float)
-        logs = np.log((n + smoothing) / (all_n + smoothing * (len(names) + 1)))
+    for kind in (0, *ORDERS):
+        own = np.flatnonzero(kinds == kind)
+        coded = found["token"].take(pa.array(own)).combine_chunks().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        table = np.zeros((len(names), len(languages)))
+        np.add.at(table, (coded.indices.to_numpy(), column[own]), n[own])
+        logs = np.log((table + smoothing) / (table.sum(axis=0) + smoothing * (len(names) + 1)))
         if kind:
-            packed = np.array([sum(ord(c) << (21 * (kind - 1 - i)) for i, c in enumerate(x)) for x in names], np.int64)
-            order = np.argsort(packed)
-            keys[kind], scores[kind] = packed[order], logs[order]
+            key = np.array([sum(ord(c) << (21 * (kind - 1 - i)) for i, c in enumerate(x)) for x in names], np.int64)
         else:
-            words, scores[0] = {x: i for i, x in enumerate(names)}, logs
+            key = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+        order = np.argsort(key)
+        keys[kind], scores[kind] = key[order], logs[order].astype(np.float32)
     share = np.array([sizes[x] for x in languages], float)
-    return Model(languages, words, scores[0], keys, {k: scores[k] for k in ORDERS}, np.full(len(languages), -1.0), np.log(share / share.sum()))
+    return Model(languages, keys.pop(0), scores.pop(0), keys, scores, np.full(len(languages), -1.0), np.log(share / share.sum()))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (the language's probability) added; `und` and 0 where text is null or has no letter.
 
-    Other columns stay; columns named like an added one are replaced. Repeated rows give repeated rows. No shuffle:
-    the model is a broadcast of bounded size.
+    Other columns stay; columns named like an added one are replaced. Repeated rows give repeated rows; of languages that are
+    as likely, the first by name is taken. No shuffle: the model is a broadcast as large as its bounded training rows make it.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = columns(docs, *keep)

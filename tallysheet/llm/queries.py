@@ -47,9 +47,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from documents whose crc32(doc_id) mod 4 isn't 2."""
+    """Learns from documents whose crc32(doc_id) mod 4 isn't 2; a null id counts as the empty string."""
     docs = documents(spark, sf_dir)
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     found = identify(docs.select("doc_id", "text"), docs.filter(~held_out).select("doc_id", "text", "lang"))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

@@ -238,6 +238,59 @@ def test_language(spark, docs, rows, empty):
     assert langid.identify(docs).count() == len(rows)
 
 
+def brute_language(train, text, smoothing=0.5):
+    """(language, probability) by dictionaries, letter by letter."""
+    words_of = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    langs = sorted({k for _, _, k in train})
+    count = {k: collections.Counter() for k in langs}
+    for _, t, k in train:
+        for w in words_of(t):
+            count[k][0, w] += 1
+            x = f" {w} "
+            for i in range(1, len(x)):
+                for order in (3, 2, 1):
+                    if i - order >= -1:
+                        count[k][order, x[i - order + 1 : i + 1]] += 1
+    names = {o: {t for k in langs for (q, t) in count[k] if q == o} for o in range(4)}
+    log = lambda k, o, t: math.log((count[k][o, t] + smoothing) / (sum(n for (q, _), n in count[k].items() if q == o) + smoothing * (len(names[o]) + 1)))
+    total = {k: math.log(sum(x == k for _, _, x in train) / len(train)) for k in langs}
+    if not words_of(text):
+        return "und", 0.0
+    for w in words_of(text):
+        for k in langs:
+            if w in names[0]:
+                total[k] += log(k, 0, w)
+                continue
+            x = f" {w} "
+            for i in range(1, len(x)):
+                for step, order in enumerate((3, 2, 1)):
+                    gram = x[max(0, i - order + 1) : i + 1]
+                    if len(gram) == order and gram in names[order]:
+                        total[k] += log(k, order, gram) - step
+                        break
+                else:
+                    total[k] -= 4 if x[i] != " " else 0
+    top = max(total.values())
+    best = max(langs, key=lambda k: (total[k], -langs.index(k)))
+    return best, 1 / sum(math.exp(v - top) for v in total.values())
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid, "AT_ONCE", 40)
+    r = random.Random(8)
+    parts = {"en": ["th", "ing", "er", "ou", "a"], "de": ["sch", "ung", "ü", "ei", "a"], "fr": ["é", "eau", "oi", "qu", "a"], "xx": ["th", "ing", "er", "ou", "a"]}
+    make = lambda k, n: " ".join("".join(r.choice(parts[k]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    train = [(i, make(k, 12), k) for i, k in enumerate(["en", "de", "fr"] * 6)]
+    train += [(100 + i, t, "xx") for i, t, k in train if k == "en"]  # as likely as en
+    texts = [*[make(k, 7) for k in ["en", "de", "fr"] * 5], "zzz 日本 ñandú", "q", "", " ½ 12 ", "Straße’s E\u0301t\u00c9", make("de", 3000), "the " * 500]
+    test = spark.createDataFrame(list(enumerate(texts)) + [(77, None), (1, texts[1])], "doc_id long, text string").withColumn("lang", F.lit("none")).withColumn("token", F.lit(1))
+    got = langid.identify(test, spark.createDataFrame(train, "doc_id long, text string, lang string")).collect()
+    for x in got:
+        lang, score = brute_language(train, x["text"] or "")
+        assert (x["lang_pred"], round(x["score"], 4)) == (lang, round(score, 4)), x["text"][:50]
+    assert len(got) == len(texts) + 2
+
+
 def test_bpe(docs, rows, empty):
     import tiktoken
 
