@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,9 +24,11 @@ def columns(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a new local one in local mode (tests); on a cluster that is an error, as executors have no local folder in common."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tallysheet-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -35,6 +38,7 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read back: it survives lost executors, and later reads take only the columns they need."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _LEFT.add(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -45,6 +49,18 @@ def released(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _LEFT.discard(path)
+
+
+#: Staged tables that are still there. Results read them, so they stay until the application ends.
+_LEFT: set[str] = set()
+
+
+@atexit.register
+def _release_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        released(spark, *list(_LEFT))
 
 
 #: Bits of a filter of ids, in words of 64.
