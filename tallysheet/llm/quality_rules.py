@@ -58,19 +58,20 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     return rows.select("doc_id", "host", "text_hash", "pos", F.xxhash64("_n").alias("line"), (F.length("_n") - F.length(F.replace("_n", F.lit(" "), F.lit(""))) + 1).alias("line_words"))
 
 
-def boilerplate(lines: DataFrame, docs: DataFrame, id_col: str, host_col: str, min_docs: int, host_share: float) -> DataFrame:
-    """(host, line) that stand in more than min_docs documents and more than host_share of the host's documents."""
-    counted = lines.groupBy("host", "line").agg(F.countDistinct("doc_id").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+def boilerplate(lines: DataFrame, docs: DataFrame, id_col: str, host_col: str, min_docs: int, most_docs: int, host_share: float, salts: int) -> DataFrame:
+    """(host, line) that stand in more than min_docs documents, and in more than host_share of the host's documents or more than most_docs. Hosts meet their lines by host and a salt of the line."""
+    counted = lines.groupBy("host", "line").agg(F.countDistinct("doc_id").alias("n_docs")).filter(F.col("n_docs") > min_docs).withColumn("salt", F.pmod("line", F.lit(salts)))
     hosts = docs.groupBy(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")).agg(F.countDistinct(F.col(id_col)).alias("host_docs"))
-    return counted.join(hosts, "host").filter(F.col("n_docs") > host_share * F.col("host_docs")).select("host", "line")
+    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return counted.join(hosts, ["host", "salt"]).filter((F.col("n_docs") > host_share * F.col("host_docs")) | (F.col("n_docs") > most_docs)).select("host", "line")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, host_share: float = 0.02, max_removed: float = 0.5, min_left: int = 50, salts: int = 16) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, most_docs: int = 1000, host_share: float = 0.02, max_removed: float = 0.5, min_left: int = 50, salts: int = 16) -> DataFrame:
     """One row for each row of docs: base measures, base_failed, words in removed lines, and whether the document is kept.
 
     Lines are normalised (lower case, single spaces) and hashed; a line is removed where it stands in more than
-    min_docs distinct documents of its host and in more than host_share of them, so that limits act alike at every
-    size. A document is kept if it doesn't fail the base rules, at least min_left words are left, and no more than
+    min_docs distinct documents of its host, and in more than host_share of them or in more than most_docs (a line of a
+    very large host). A document is kept if it doesn't fail the base rules, at least min_left words are left, and no more than
     max_removed of its words are in removed lines.
 
     A null text has no words and fails. A null host is a host of its own, the empty one. Rows that repeat an id count
@@ -81,7 +82,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = columns(docs, *dict.fromkeys([id_col, text_col, host_col]))
     lines = line_rows(docs, id_col, text_col, host_col)
-    frequent = boilerplate(lines, docs, id_col, host_col, min_docs, host_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    frequent = boilerplate(lines, docs, id_col, host_col, min_docs, most_docs, host_share, salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = lines.withColumn("salt", F.pmod(F.hash("doc_id", "pos"), F.lit(salts)))
     removed = salted.join(frequent, ["host", "line", "salt"]).groupBy("doc_id", "host", "text_hash", "pos").agg(F.max("line_words").alias("n"))
     removed = removed.groupBy("doc_id", "host", "text_hash").agg(F.sum("n").alias("removed_words"), F.count("*").alias("removed_lines"))

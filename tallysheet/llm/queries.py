@@ -88,7 +88,7 @@ dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY d
 norm AS (SELECT doc_id, host, array_to_string(lw, ' ') AS line, len(lw) AS n FROM lines),
 hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM t GROUP BY host),
 frequent AS (SELECT host, line FROM norm JOIN hosts USING (host) GROUP BY host, line, host_docs
-             HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.02::DOUBLE * host_docs),
+             HAVING count(DISTINCT doc_id) > 10 AND (count(DISTINCT doc_id) > 0.02::DOUBLE * host_docs OR count(DISTINCT doc_id) > 1000)),
 gone AS (SELECT doc_id, sum(n) AS n, count(*) AS k FROM norm JOIN frequent USING (host, line) GROUP BY doc_id),
 base AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
                 (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,

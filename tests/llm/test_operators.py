@@ -68,6 +68,38 @@ def test_quality(docs, rows, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_sql(spark, docs, rows):
+    """The query's SQL on the same rows, and on lines about the limits."""
+    import duckdb
+
+    r = random.Random(7)
+    lines = [" ".join(f"l{k}w{i}" for i in range(20)) for k in range(6)]
+    more = []
+    for i in range(900):
+        own = "\n".join(" ".join(f"d{i}x{k}y{j}" for j in range(12)) for k in range(r.randint(1, 9)))
+        more.append((1000 + i, "\n".join([own, *[x.upper() if r.random() < 0.5 else x for k, x in enumerate(lines) if r.random() < [0.9, 0.3, 0.02, 0.015, 0.5, 0.01][k]]]), None, "big" if i % 3 else f"h{i % 7}", i))
+    texts = [(*x[:1], x[1], x[2], x[3], x[4]) for x in rows if x[0] is not None] + more
+    texts = list(dict.fromkeys(texts))  # SQL reads a repeated id as one document
+    d = spark.createDataFrame(texts, docs.schema)
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(texts, columns=docs.columns))
+    from tallysheet.llm.queries import SQL
+
+    q = quality_rules.quality_rules(d.withColumn("salt", F.lit(1)))
+    got = collections.Counter(tuple(x) for x in q.collect())
+    want = collections.Counter(con.execute(f"select {', '.join(q.columns)} from ({SQL['op2_quality_rules']})").fetchall())
+    assert got == want and {x[7] for x in got} == {True, False} and sum(x[9] > 0 for x in got) > 300
+
+
+def test_frequent_lines_of_a_large_host_go(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(i, f"{body}{i}\nmenu of it" if i < 30 else f"{body} own{i}", "h") for i in range(2000)], "doc_id long, text string, source string")
+    gone = lambda **k: quality_rules.quality_rules(d, **k).filter("removed_lines > 0").count()
+    assert (gone(), gone(most_docs=29), gone(most_docs=30)) == (0, 30, 0)
+
+
 def test_frequent_lines_go(spark):
     body = " ".join(f"w{i}" for i in range(60))
     menu = " ".join(f"m{i}" for i in range(70))
@@ -89,6 +121,34 @@ def test_importance(spark, docs, rows, empty):
     assert importance.kth_largest(one, 10, bins=4) == (1.0, 9)
 
 
+def test_importance_against_brute_force(spark, rows):
+    """Weights and noise of every row by dictionaries, with the same hash function asked for one value at a time."""
+    texts = [(i, t) for i, t, *_ in rows] + [(500, "the " * 30_000)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").withColumn("b", F.lit(1)).withColumn("raw", F.lit("old")).repartition(3)
+    n, seed = 50, 17
+    split = lambda t: [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w]
+    grams = {(w, None) for _, t in texts for w in split(t)} | {p for _, t in texts for p in zip(split(t), [None, *split(t)], strict=False)}
+    asked = spark.createDataFrame(sorted(grams, key=str), "w string, before string")
+    hashed = {(x["w"], x["before"]): (x["one"], x["two"]) for x in asked.select("w", "before", F.xxhash64("w").alias("one"), F.xxhash64("w", "before").alias("two")).collect()}
+    bucket = lambda t: [hashed[w, None][0] % n for w in split(t)] + [hashed[p][1] % n for p in zip(split(t), [None, *split(t)], strict=False)]
+    raw, target, good = collections.Counter(), collections.Counter(), {9, 10, 13}
+    for i, t in texts:
+        raw.update(bucket(t))
+        if i in good:
+            target.update(bucket(t))
+    ratio = lambda b: math.log((target[b] + 1) / (sum(target.values()) + n)) - math.log((raw[b] + 1) / (sum(raw.values()) + n))
+    got = importance.importance_resample(d, spark.createDataFrame([(i,) for i in good], "id long"), k=12, n_buckets=n, seed=seed).collect()
+    assert len(got) == len(texts)
+    weight = {i: sum(map(ratio, bucket(t))) for i, t in texts}
+    noise = {x[0]: -math.log(-math.log(((x[1] % 2**64 >> 11) + 0.5) / 2**53)) for x in spark.createDataFrame([(i,) for i, _ in texts if i is not None], "i long").select("i", F.xxhash64(F.lit(seed), "i")).collect()}
+    for x in got:
+        assert x["log_weight"] == pytest.approx(weight[x["doc_id"]], abs=1e-4)
+        if x["doc_id"] is not None:
+            assert x["gumbel_key"] == pytest.approx(weight[x["doc_id"]] + noise[x["doc_id"]], abs=1e-4)
+    order = sorted(got, key=lambda x: -x["gumbel_key"])
+    assert all(x["kept"] for x in order[:12]) and not any(x["kept"] for x in order if x["gumbel_key"] < order[11]["gumbel_key"])
+
+
 def test_packing(spark, docs, rows, empty):
     tok = __import__("tokenizers").Tokenizer.from_file(bpe.default_path("byte_bpe_50k.json"))
     rows = [*rows, (70, "a <|endoftext|> b", None, None, None), (71, "<|endoftext|><|endoftext|>\n<|endoftext", None, None, None), (72, text_of(random.Random(8), 60_000), None, None, None)]
