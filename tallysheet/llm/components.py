@@ -2,68 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallysheet.llm.common import released, staged
 
-#: Edges that one task may hold.
-IN_ONE_TASK = 1_000_000
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the least of its neighbours and itself."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.filter("v > u").hint("merge").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and itself, are tied to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = down.hint("merge").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.union(least.select("u", F.col("m").alias("v")))
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one task's edges; the least node is each set's root."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if (a := root(u)) != (c := root(v)):
-                parent[max(a, c)] = min(a, c)
-    nodes = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "component"])
-
-
-def components(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node of an edge table (u, v) and the least node it is connected with.
 
-    Up to in_one_task edges (a bound of some ten MB) are joined by union-find in one task. Beyond, large-star and
-    small-star steps by turns (Kiveris et al. 2014) until the table no longer changes; each step is staged in the shared
-    folder. Both give the same. Self-loops are passed over; nodes without another edge aren't in the result.
+    Nodes are of any type that has an order. Large-star and small-star steps by turns (Kiveris et al. 2014) until the table
+    no longer changes; each step is staged in the shared folder, so a lost executor costs a re-read. Self-loops are
+    passed over; nodes without another edge aren't in the result.
     """
     spark = edges.sparkSession
-    now, path = staged(edges.filter("u <> v").select("u", "v"), "edges")
-    if now.count() <= in_one_task:
-        return now.coalesce(1).mapInArrow(_united, "node long, component long")
-    before = None
+    now, path = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = _state(now)
     while True:
-        after = _small_star(_large_star(now)).filter("u <> v").distinct()
-        then, new_path = staged(after, "edges")
+        then, new_path = staged(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
         released(spark, path)
         now, path = then, new_path
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = _state(now)
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

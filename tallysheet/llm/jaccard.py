@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tallysheet.llm.common import columns, in_slices, kept_by_worker, released, staged, words_of
 from tallysheet.llm.components import components
@@ -41,6 +41,16 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(_mix(s + np.uint64(size)))
 
 
+def fingerprint(s: np.ndarray) -> bytes:
+    """128 bits of a sorted set: equal sets are told by it alone."""
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join at every size, so that a plan that holds for a sample holds for the whole; adaptive execution splits hot keys."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def required(na: Column | str, nb: Column | str, num: int, den: int) -> Column:
     """The least overlap of two sets of these sizes whose Jaccard similarity is num / den or more: ceil(num (na + nb) / (num + den))."""
     total = (F.col(na) if isinstance(na, str) else na) + (F.col(nb) if isinstance(nb, str) else nb)
@@ -126,7 +136,7 @@ def lacking(a: str, b: str) -> Column:
 
 
 def signatures(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame:
-    """(doc_id, n, node, bits, prefix): the set's size, its fingerprint and sketch, and as many of its first n-grams in the global order as a linked set must share one of."""
+    """(doc_id, n, node, bits, prefix): the set's size, its fingerprint (node) and sketch, and as many of its first n-grams in the global order as a linked set must share one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = order.value
@@ -135,34 +145,34 @@ def signatures(docs: DataFrame, size: int, num: int, den: int, order) -> DataFra
             for text in b.column(1):
                 s = shingles(text.as_py(), size)
                 n.append(len(s))
-                node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                node.append(fingerprint(s) if len(s) else None)
                 bits.append(sketch(s))
                 prefix.append(ranked.rank(s)[0][: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if len(s) else s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "node", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "node", "bits", "prefix"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, node binary, bits array<long>, prefix array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, bits array<long>, prefix array<long>")
+def representatives(sets: DataFrame) -> DataFrame:
+    """(node, rep, n, bits, prefix): the least document of each set, and the set's own columns. Copies are combined before the shuffle."""
+    one = sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n", "bits", "prefix")).alias("r"))
+    return one.select("node", F.col("r.doc_id").alias("rep"), "r.n", "r.bits", "r.prefix")
 
 
-def postings(sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """(token, node, n, pos) for the prefixes of one document of each set, of tokens that stand in two sets or more; head is one set of the token's list."""
-    one = sets.join(reps.select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"]).select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    # A head by hash of token and set: a group that shares many tokens gets as many heads.
-    near = Window.partitionBy("token").orderBy(F.xxhash64("token", "node"), "node")
-    head = F.first(F.struct("node", "n", F.col("pos").cast("long").alias("pos"))).over(near.rowsBetween(Window.unboundedPreceding, 0))
-    shared = one.withColumn("_before", F.lag("node").over(near)).withColumn("_after", F.lead("node").over(near)).withColumn("head", head)
-    # Rows that repeat an id and a text repeat here; they stand beside each other.
-    return shared.filter("(_before is not null or _after is not null) and not (_before <=> node)").select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "head")
+def postings(reps: DataFrame) -> DataFrame:
+    """(token, node, n, pos, head) for the prefixes of each set, of tokens that stand in two sets or more; head is one set of the token's list, by hash of token and set: a group that shares many tokens gets as many heads."""
+    one = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    head = F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node", "n", "pos"))
+    heads = one.groupBy("token").agg(head.alias("head"), F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b").select("token", "head")
+    return merged(one, heads, "token").select("token", "node", "n", "pos", "head")
 
 
 def to_bytes(s: np.ndarray) -> bytes:
-    """The lower 48 bits of each hash: within one pair of sets that is as good as 64."""
-    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return s.astype("<u8").tobytes()
 
 
 def from_bytes(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    return np.frombuffer(b, "<u8")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
@@ -170,7 +180,7 @@ def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int,
 
     Only documents in the pairs are cut into fragments: a filter of BITS bits passes them (and a few more, which join nothing).
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("node", "rep")
+    ends = merged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps.select("node", "rep"), "node")
     bit = F.pmod(F.xxhash64("rep"), F.lit(BITS))
     rows = ends.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {BITS}) % 64 as int))")).alias("bits")).toArrow()
     field = np.zeros(BITS // 64, np.int64)
@@ -187,18 +197,18 @@ def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int,
             rows = []
             for i in wanted:
                 if len(s := shingles(b.column(1)[int(i)].as_py(), size)):
-                    node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                    node = fingerprint(s)
                     rows += [(node, f, to_bytes(part)) for f, part in ranked.fragments(s)]
             for i, j in in_slices(rows, [len(r[2]) for r in rows], 16_000_000):
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i:j]], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["node", "fragment", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i:j]], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.binary()))], ["node", "fragment", "part"])
 
-    parts = marked.filter("doc_id is not null").mapInArrow(cut, "node long, fragment int, part binary")
+    parts = marked.filter("doc_id is not null").mapInArrow(cut, "node binary, fragment int, part binary")
     fragments = len(order.value.cuts) + 1
     by_fragment = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
     # Sort-merge joins at every size: sets are shuffled once, by node and fragment, and pairs carry one side's part to the other.
-    both = by_fragment.hint("merge").join(left, ["a", "fragment"]).hint("merge").join(right.hint("merge"), ["b", "fragment"]).select("a", "b", "fragment", "pa", "pb")
+    both = merged(merged(by_fragment, left, ["a", "fragment"]), right, ["b", "fragment"]).select("a", "b", "fragment", "pa", "pb")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,12 +216,12 @@ def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], ["a", "b", "fragment", "partial"])
 
     # Copies that passed the filter have the same parts: one count of each fragment is taken.
-    counts = both.mapInArrow(overlap, "a long, b long, fragment int, partial long").groupBy("a", "b", "fragment").agg(F.max("partial").alias("partial"))
+    counts = both.mapInArrow(overlap, "a binary, b binary, fragment int, partial long").groupBy("a", "b", "fragment").agg(F.max("partial").alias("partial"))
     sums = counts.groupBy("a", "b").agg(F.sum("partial").alias("inter"))
-    return pairs.join(sums, ["a", "b"]).filter(F.col("inter") >= required("na", "nb", num, den))
+    return merged(pairs, sums, ["a", "b"]).filter(F.col("inter") >= required("na", "nb", num, den))
 
 
-def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", fragments: int = 4, max_rounds: int = 5, rest_factor: int = 100) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", fragments: int = 4, min_rounds: int = 5, rest_factor: int = 100) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles (size of its set of word n-grams) and component_id.
 
     Words are runs of other than space and U+0009 to U+000D, A-Z in lower case. Two documents link when their sets'
@@ -223,40 +233,40 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
        (prefix filter), at places that leave room for the overlap they need.
     3. Sets that share such an n-gram are candidates. A list of many sets isn't multiplied out: in rounds, each set is
        compared with one of its list's (of its largest component), and components grow, until the pairs that remain
-       between different components are few against the lists, or a round links fewer than half of its pairs (or max_rounds is reached);
+       between different components are few against the lists, or after min_rounds a round links fewer than half of its pairs;
        then all of those are compared, but for pairs whose sketches show that too many n-grams differ. So no link between components is lost, and none within one is needed.
+       A list is long only if many sets have hardly an n-gram that is rarer; such sets are mostly alike, and rounds join them.
     4. The overlap of a pair is counted in each fragment of the global order separately, and summed.
 
-    Sets and n-grams are 64-bit hashes, of which overlaps are counted by 48 bits. Null ids get a null component. Rows that repeat an id are compared each on its own.
+    N-grams are 64-bit hashes, sets are told apart by 128 bits. Runs jobs while the DataFrame is being built. Null ids get a null component. Rows that repeat an id are compared each on its own.
     An empty table gives none. Other columns are left out.
     """
     spark = docs.sparkSession
     docs = columns(docs, *dict.fromkeys([id_col, text_col])).selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     order = spark.sparkContext.broadcast(global_order(docs, size, fragments))
     sets, _ = staged(signatures(docs, size, num, den, order), "sets")
-    reps, _ = staged(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
-    shared, shared_path = staged(postings(sets, reps), "postings")
-    checked, labels, edges = [], None, None
-    for i in range(max_rounds + 1):
+    reps, _ = staged(representatives(sets), "reps")
+    shared, shared_path = staged(postings(reps), "postings")
+    checked, labels, edges, done_with = [], None, None, [shared_path]
+    for i in itertools.count():
         if i == 0:
-            last, remaining = False, None
+            last = False
             found = shared.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("head.node").alias("b"), F.col("head.n").alias("nb"), F.col("head.pos").alias("pb")).filter("a <> b")
         else:
-            rows = shared.drop("head").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            rows = merged(shared.drop("head"), labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             pick = F.min(F.struct(F.xxhash64(F.lit(i), "token", "node").alias("h"), "node", "n", "pos"))
             lists = rows.groupBy("token", "component").agg(F.count("*").alias("k"), pick.alias("p"))
             lists = lists.groupBy("token").agg(F.max(F.struct("k", F.col("component").alias("c"), "p")).alias("m"), F.sum("k").alias("total"), F.count("*").alias("components"))
             lists = lists.filter("components > 1").select("token", F.col("m.c").alias("main"), F.col("m.p.node").alias("b"), F.col("m.p.n").alias("nb"), F.col("m.p.pos").alias("pb"), F.col("m.k").alias("k"), "total")
             lists, lists_path = staged(lists, "lists")
+            done_with.append(lists_path)
             remaining = lists.agg(F.count("*").alias("tokens"), F.sum("total").alias("rows"), F.sum((F.col("total") - F.col("k")).cast("double") * F.col("total")).alias("pairs")).first()
             if not remaining["tokens"]:
-                released(spark, lists_path)
                 break
-            last = i == max_rounds or remaining["pairs"] <= rest_factor * remaining["rows"] or 2 * n_links < n_pairs
-            near = rows.join(lists, "token")
+            last = remaining["pairs"] <= rest_factor * remaining["rows"] or (i >= min_rounds and 2 * n_links < n_pairs)
+            near = merged(rows, lists, "token")
             if last:
-                shapes = sets.select("doc_id", "node", "bits").join(reps.select(F.col("rep").alias("doc_id"), "node"), ["doc_id", "node"]).select("node", "bits")
-                near = near.select("token", "node", "n", "pos", "component", "main").join(shapes.dropDuplicates(["node"]), "node")
+                near = merged(near.select("token", "node", "n", "pos", "component", "main"), reps.select("node", "bits"), "node")
                 left = near.filter("component <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), F.col("bits").alias("ba"), "main")
                 right = near.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
                 need = required("na", "nb", num, den)
@@ -264,7 +274,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
                 apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
                 room = (F.col("na") - F.col("pa") >= need) & (F.col("nb") - F.col("pb") >= need)
                 alike = (F.col("na") - lacking("ba", "bb") >= need) & (F.col("nb") - lacking("bb", "ba") >= need)
-                found = left.join(right, (left["token"] == right["token"]) & apart & room & alike).drop(left["token"])
+                found = merged(left, right, (left["token"] == right["token"]) & apart & room & alike).drop(left["token"])
             else:
                 found = near.filter("component <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "b", "nb", "pb")
         need = required("na", "nb", num, den)
@@ -272,24 +282,20 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
         swap = F.col("a") > F.col("b")
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
         for done in checked:
-            found = found.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs, _ = staged(found, "pairs")
-        if i:
-            released(spark, lists_path)
+            found = merged(found, done.select("a", "b"), ["a", "b"], "left_anti")
+        pairs, pairs_path = staged(found, "pairs")
         checked.append(pairs)
-        good, _ = staged(linked(pairs, docs, reps, order, size, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        good, good_path = staged(linked(pairs, docs, reps, order, size, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        done_with += [pairs_path, good_path]
         n_pairs, n_links = pairs.count(), good.count()
         edges = good if edges is None else edges.union(good)
         labels, _ = staged(components(edges), "labels")
         if last:
             break
-    released(spark, shared_path)
-    if labels is not None:
-        named = reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-        ids = named.join(least, "component").select("node", "component_id")
-    else:
-        ids = reps.select("node", F.col("rep").alias("component_id"))
-    out = sets.select("doc_id", "n", "node").join(ids, "node", "left")
+    released(spark, *done_with)
+    named = merged(reps.select("node", "rep"), labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ids = merged(named, least, "component").select("node", "component_id")
+    out = merged(sets.select("doc_id", "n", "node"), ids, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -400,11 +400,15 @@ def test_jaccard(docs, rows, empty, size, num, rest, monkeypatch):
 
 def test_components(spark):
     r = random.Random(6)
-    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
-    df = spark.createDataFrame(edges, "u long, v long")
-    a = {tuple(x) for x in components.components(df).collect()}
-    assert a == {tuple(x) for x in components.components(df, in_one_task=0).collect()}
-    assert (130, 100) in a
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7), (5, 6), (5, 6)]
+    least = {x: x for e in edges for x in e}
+    for _ in edges:
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    alone = {x for x in least if all(x not in e or e[0] == e[1] for e in edges)}
+    assert {tuple(x) for x in got} == {(n, c) for n, c in least.items() if n not in alone} and len(got) == len(least) - len(alone)
+    assert components.components(spark.createDataFrame([], "u binary, v binary")).count() == 0
 
 
 def test_language_model(spark, docs, rows, empty):
