@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +26,35 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("u", F.col("m").alias("v")))
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges of one task: each of its nodes is tied to the least that it is connected with there."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if (a := root(u)) != (c := root(v)):
+                parent[max(a, c)] = min(a, c)
+    nodes = list(parent)
+    for i in range(0, len(nodes), 100_000):
+        part = nodes[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): each node of an edge table (u, v) and the least node it is connected with.
+    """(node, component): each node of an edge table (u, v) of longs and the least node it is connected with.
 
-    Nodes are of any type that has an order. Large-star and small-star steps by turns (Kiveris et al. 2014) until the table
+    Each task first contracts its own edges (a partition is of bounded size). Then large-star and small-star steps by turns (Kiveris et al. 2014) until the table
     no longer changes; each step is staged in the shared folder, so a lost executor costs a re-read. Self-loops are
     passed over; nodes without another edge aren't in the result.
     """
     spark = edges.sparkSession
-    now, path = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    pairs = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now, path = staged(pairs.mapInArrow(_contracted, "u long, v long").filter("u <> v").distinct(), "edges")
     before = _state(now)
     while True:
         then, new_path = staged(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallysheet.llm.common import columns, in_slices, kept_by_worker, released, staged, words_of
@@ -16,6 +17,8 @@ from tallysheet.llm.components import components
 
 #: Counters of the global order, and of them in a chunk.
 COUNTERS, CHUNK = 1 << 21, 1 << 15
+#: An n-gram whose counter is less stands in fewer documents than this, and its list is one group of a window.
+HOT = 50_000
 #: Words of 64 bits in the sketch of a set that bounds overlaps.
 SKETCH = 16
 #: Bits of the filter that spares documents which are in no candidate pair.
@@ -135,36 +138,52 @@ def lacking(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
 
 
-def signatures(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame:
-    """(doc_id, n, node, bits, prefix): the set's size, its fingerprint (node) and sketch, and as many of its first n-grams in the global order as a linked set must share one of."""
+def signatures(docs: DataFrame, size: int, num: int, den: int, order, hot: int) -> DataFrame:
+    """(doc_id, n, node, bits, prefix, cold): the set's size, its fingerprint (node) and sketch, as many of its first n-grams in the global order as a linked set must share one of, and how many of those aren't hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = order.value
         for b in batches:
-            n, node, bits, prefix = [], [], [], []
+            n, node, bits, prefix, cold = [], [], [], [], []
             for text in b.column(1):
                 s = shingles(text.as_py(), size)
                 n.append(len(s))
                 node.append(fingerprint(s) if len(s) else None)
                 bits.append(sketch(s))
-                prefix.append(ranked.rank(s)[0][: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if len(s) else s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "node", "bits", "prefix"])
+                first, counts = (x[: len(s) - -(-num * len(s) // den) + 1 if len(s) else 0] for x in ranked.rank(s))
+                prefix.append(first.view(np.int64))
+                cold.append(int(np.searchsorted(counts, hot)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())), pa.array(cold, pa.int32())], ["doc_id", "n", "node", "bits", "prefix", "cold"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary, bits array<long>, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node binary, bits array<long>, prefix array<long>, cold int")
 
 
 def representatives(sets: DataFrame) -> DataFrame:
-    """(node, rep, n, bits, prefix): the least document of each set, and the set's own columns. Copies are combined before the shuffle."""
-    one = sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n", "bits", "prefix")).alias("r"))
-    return one.select("node", F.col("r.doc_id").alias("rep"), "r.n", "r.bits", "r.prefix")
+    """(node, id, rep, n, bits, prefix, cold): the least document of each set, and the set's own columns (again for each row that repeats an id and its text).
+
+    id is a number for the set: that of its least document. Where rows repeat an id with other texts, it may be the least of
+    two sets; then one of them has a hash of the set as its number.
+    """
+    light = sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("node")) == 1
+    light = light.withColumn("id", F.when(first, F.col("rep")).otherwise(F.xxhash64("node")))
+    return merged(sets.withColumnRenamed("doc_id", "rep"), light, ["rep", "node"]).select("node", "id", "rep", "n", "bits", "prefix", "cold")
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """(token, node, n, pos, head) for the prefixes of each set, of tokens that stand in two sets or more; head is one set of the token's list, by hash of token and set: a group that shares many tokens gets as many heads."""
-    one = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
-    head = F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node", "n", "pos"))
-    heads = one.groupBy("token").agg(head.alias("head"), F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b").select("token", "head")
-    return merged(one, heads, "token").select("token", "node", "n", "pos", "head")
+    """(token, id, n, pos, head) for the prefixes of each set, of tokens that stand in two sets or more; head is one set of the token's list, by hash of token and set: a group that shares many tokens gets as many heads.
+
+    Tokens that aren't hot have bounded lists, which are windows. Lists of hot ones are aggregated, and joined to their heads: adaptive execution can split them.
+    """
+    one = reps.select("id", "n", "cold", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    parts = [one.filter(f"pos {op} cold").select("token", "id", "n", "pos") for op in ("<", ">=")]
+    near = Window.partitionBy("token").orderBy(F.xxhash64("token", "id"), "id")
+    cold = parts[0].withColumn("_before", F.lag("id").over(near)).withColumn("_after", F.lead("id").over(near))
+    cold = cold.withColumn("head", F.first(F.struct("id", "n", "pos")).over(near.rowsBetween(Window.unboundedPreceding, 0))).filter("(_before is not null or _after is not null) and not (_before <=> id)")
+    head = F.min(F.struct(F.xxhash64("token", "id").alias("h"), "id", "n", "pos"))
+    heads = parts[1].groupBy("token").agg(head.alias("h"), F.count("*").alias("_k")).filter("_k > 1").select("token", F.struct("h.id", "h.n", "h.pos").alias("head"))
+    names = ["token", "id", "n", "pos", "head"]
+    return cold.select(names).union(merged(parts[1], heads, "token").select(names))
 
 
 def to_bytes(s: np.ndarray) -> bytes:
@@ -180,7 +199,7 @@ def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int,
 
     Only documents in the pairs are cut into fragments: a filter of BITS bits passes them (and a few more, which join nothing).
     """
-    ends = merged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps.select("node", "rep"), "node")
+    ends = merged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), reps.select("id", "node", "rep"), "id")
     bit = F.pmod(F.xxhash64("rep"), F.lit(BITS))
     rows = ends.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {BITS}) % 64 as int))")).alias("bits")).toArrow()
     field = np.zeros(BITS // 64, np.int64)
@@ -204,11 +223,13 @@ def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int,
 
     parts = marked.filter("doc_id is not null").mapInArrow(cut, "node binary, fragment int, part binary")
     fragments = len(order.value.cuts) + 1
-    by_fragment = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
+    named = lambda end: ends.select(F.col("id").alias(end), F.col("node").alias(f"node_{end}"))
+    sets_of = merged(merged(pairs.select("a", "b"), named("a"), "a"), named("b"), "b")
+    by_fragment = sets_of.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+    left = parts.select(F.col("node").alias("node_a"), "fragment", F.col("part").alias("pa"))
+    right = parts.select(F.col("node").alias("node_b"), "fragment", F.col("part").alias("pb"))
     # Sort-merge joins at every size: sets are shuffled once, by node and fragment, and pairs carry one side's part to the other.
-    both = merged(merged(by_fragment, left, ["a", "fragment"]), right, ["b", "fragment"]).select("a", "b", "fragment", "pa", "pb")
+    both = merged(merged(by_fragment, left, ["node_a", "fragment"]), right, ["node_b", "fragment"]).select("a", "b", "fragment", "pa", "pb")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,12 +237,12 @@ def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], ["a", "b", "fragment", "partial"])
 
     # Copies that passed the filter have the same parts: one count of each fragment is taken.
-    counts = both.mapInArrow(overlap, "a binary, b binary, fragment int, partial long").groupBy("a", "b", "fragment").agg(F.max("partial").alias("partial"))
+    counts = both.mapInArrow(overlap, "a long, b long, fragment int, partial long").groupBy("a", "b", "fragment").agg(F.max("partial").alias("partial"))
     sums = counts.groupBy("a", "b").agg(F.sum("partial").alias("inter"))
     return merged(pairs, sums, ["a", "b"]).filter(F.col("inter") >= required("na", "nb", num, den))
 
 
-def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", fragments: int = 4, min_rounds: int = 5, rest_factor: int = 100) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", fragments: int = 4, min_rounds: int = 1, rest_factor: int = 100, hot: int = HOT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles (size of its set of word n-grams) and component_id.
 
     Words are runs of other than space and U+0009 to U+000D, A-Z in lower case. Two documents link when their sets'
@@ -233,7 +254,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
        (prefix filter), at places that leave room for the overlap they need.
     3. Sets that share such an n-gram are candidates. A list of many sets isn't multiplied out: in rounds, each set is
        compared with one of its list's (of its largest component), and components grow, until the pairs that remain
-       between different components are few against the lists, or after min_rounds a round links fewer than half of its pairs;
+       between different components are few against the lists, or, after min_rounds, a round links fewer than half of its pairs;
        then all of those are compared, but for pairs whose sketches show that too many n-grams differ. So no link between components is lost, and none within one is needed.
        A list is long only if many sets have hardly an n-gram that is rarer; such sets are mostly alike, and rounds join them.
     4. The overlap of a pair is counted in each fragment of the global order separately, and summed.
@@ -244,20 +265,20 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
     spark = docs.sparkSession
     docs = columns(docs, *dict.fromkeys([id_col, text_col])).selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     order = spark.sparkContext.broadcast(global_order(docs, size, fragments))
-    sets, _ = staged(signatures(docs, size, num, den, order), "sets")
+    sets, _ = staged(signatures(docs, size, num, den, order, hot), "sets")
     reps, _ = staged(representatives(sets), "reps")
     shared, shared_path = staged(postings(reps), "postings")
     checked, labels, edges, done_with = [], None, None, [shared_path]
     for i in itertools.count():
         if i == 0:
             last = False
-            found = shared.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("head.node").alias("b"), F.col("head.n").alias("nb"), F.col("head.pos").alias("pb")).filter("a <> b")
+            found = shared.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("head.id").alias("b"), F.col("head.n").alias("nb"), F.col("head.pos").alias("pb")).filter("a <> b")
         else:
-            rows = merged(shared.drop("head"), labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            pick = F.min(F.struct(F.xxhash64(F.lit(i), "token", "node").alias("h"), "node", "n", "pos"))
+            rows = merged(shared.drop("head"), labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            pick = F.min(F.struct(F.xxhash64(F.lit(i), "token", "id").alias("h"), "id", "n", "pos"))
             lists = rows.groupBy("token", "component").agg(F.count("*").alias("k"), pick.alias("p"))
             lists = lists.groupBy("token").agg(F.max(F.struct("k", F.col("component").alias("c"), "p")).alias("m"), F.sum("k").alias("total"), F.count("*").alias("components"))
-            lists = lists.filter("components > 1").select("token", F.col("m.c").alias("main"), F.col("m.p.node").alias("b"), F.col("m.p.n").alias("nb"), F.col("m.p.pos").alias("pb"), F.col("m.k").alias("k"), "total")
+            lists = lists.filter("components > 1").select("token", F.col("m.c").alias("main"), F.col("m.p.id").alias("b"), F.col("m.p.n").alias("nb"), F.col("m.p.pos").alias("pb"), F.col("m.k").alias("k"), "total")
             lists, lists_path = staged(lists, "lists")
             done_with.append(lists_path)
             remaining = lists.agg(F.count("*").alias("tokens"), F.sum("total").alias("rows"), F.sum((F.col("total") - F.col("k")).cast("double") * F.col("total")).alias("pairs")).first()
@@ -266,9 +287,9 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
             last = remaining["pairs"] <= rest_factor * remaining["rows"] or (i >= min_rounds and 2 * n_links < n_pairs)
             near = merged(rows, lists, "token")
             if last:
-                near = merged(near.select("token", "node", "n", "pos", "component", "main"), reps.select("node", "bits"), "node")
-                left = near.filter("component <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), F.col("bits").alias("ba"), "main")
-                right = near.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
+                near = merged(near.select("token", "id", "n", "pos", "component", "main"), reps.select("id", "bits"), "id")
+                left = near.filter("component <> main").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), F.col("bits").alias("ba"), "main")
+                right = near.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
                 need = required("na", "nb", num, den)
                 # A pair of sets that are both outside the largest component would come twice.
                 apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
@@ -276,7 +297,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
                 alike = (F.col("na") - lacking("ba", "bb") >= need) & (F.col("nb") - lacking("bb", "ba") >= need)
                 found = merged(left, right, (left["token"] == right["token"]) & apart & room & alike).drop(left["token"])
             else:
-                found = near.filter("component <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "b", "nb", "pb")
+                found = near.filter("component <> main").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "b", "nb", "pb")
         need = required("na", "nb", num, den)
         found = found.filter((F.col("na") - F.col("pa") >= need) & (F.col("nb") - F.col("pb") >= need))
         swap = F.col("a") > F.col("b")
@@ -289,11 +310,11 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
         done_with += [pairs_path, good_path]
         n_pairs, n_links = pairs.count(), good.count()
         edges = good if edges is None else edges.union(good)
-        labels, _ = staged(components(edges), "labels")
+        labels, _ = staged(components(edges).withColumnRenamed("node", "id"), "labels")
         if last:
             break
     released(spark, *done_with)
-    named = merged(reps.select("node", "rep"), labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = merged(reps.select("id", "node", "rep"), labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = merged(named, least, "component").select("node", "component_id")
     out = merged(sets.select("doc_id", "n", "node"), ids, "node", "left")

@@ -390,9 +390,12 @@ def brute_components(rows, size, num, den):
     return collections.Counter((r[0], len(sets[i]), None if r[0] is None else least[root(i)]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize(("size", "num", "rest"), [(3, 90, 100), (3, 80, 0), (5, 80, 100)])
-def test_jaccard(docs, rows, empty, size, num, rest, monkeypatch):
-    got = collections.Counter(tuple(r) for r in jaccard.jaccard_join(docs, size, num, rest_factor=rest).collect())
+@pytest.mark.parametrize(("size", "num", "rest", "hot"), [(3, 90, 100, 50_000), (3, 80, 0, 5), (5, 80, 100, 1)])
+def test_jaccard(spark, docs, rows, empty, size, num, rest, hot):
+    # An id with two texts, one of them another's copy, and columns named like those within.
+    rows = [*rows, (9, rows[12][1], None, None, None), (40, rows[13][1], None, None, None), (40, rows[12][1] + " more of it", None, None, None)]
+    docs = spark.createDataFrame(rows, docs.schema).withColumn("node", F.lit("old")).withColumn("id", F.lit(1)).repartition(3)
+    got = collections.Counter(tuple(r) for r in jaccard.jaccard_join(docs, size, num, rest_factor=rest, min_rounds=3, hot=hot).collect())
     assert got == brute_components(rows, size, num, 100)
     if rest == 0:
         assert jaccard.jaccard_join(empty).count() == 0
