@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tallysheet.llm.common import released, staged
 
+#: Edges that a task contracts at most.
+EDGES = 1_000_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the least of its neighbours and itself."""
@@ -45,25 +48,30 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, edges_a_task: int = EDGES) -> DataFrame:
     """(node, component): each node of an edge table (u, v) of longs and the least node it is connected with.
 
-    Each task first contracts its own edges (a partition is of bounded size). Then large-star and small-star steps by turns (Kiveris et al. 2014) until the table
-    no longer changes; each step is staged in the shared folder, so a lost executor costs a re-read. Self-loops are
+    The edges are dealt to as many tasks as hold edges_a_task each, and each task contracts its own. What one task has seen
+    whole is done; the stars of several go through large-star and small-star steps by turns (Kiveris et al. 2014) until
+    the table no longer changes. Each step is staged in the shared folder, so a lost executor costs a re-read. Self-loops are
     passed over; nodes without another edge aren't in the result.
     """
     spark = edges.sparkSession
     pairs = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, path = staged(pairs.mapInArrow(_contracted, "u long, v long").filter("u <> v").distinct(), "edges")
-    before = _state(now)
-    while True:
+    found, path = staged(pairs, "edges")
+    tasks = max(1, -(-found.count() // edges_a_task))
+    now, new_path = staged(found.repartition(tasks).mapInArrow(_contracted, "u long, v long").filter("u <> v"), "edges")
+    released(spark, path)
+    path, before = new_path, None
+    while tasks > 1:
         then, new_path = staged(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
         released(spark, path)
         now, path = then, new_path
         state = _state(now)
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            break
         before = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _state(edges: DataFrame) -> tuple:

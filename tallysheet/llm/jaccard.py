@@ -159,7 +159,7 @@ def signatures(docs: DataFrame, size: int, num: int, den: int, order, hot: int)
 
 
 def representatives(sets: DataFrame) -> DataFrame:
-    """(node, id, rep, n, bits, prefix, cold): the least document of each set, and the set's own columns (again for each row that repeats an id and its text).
+    """(node, id, rep, n, prefix, cold): the least document of each set, and the set's own columns (again for each row that repeats an id and its text).
 
     id is a number for the set: that of its least document. Where rows repeat an id with other texts, it may be the least of
     two sets; then one of them has a hash of the set as its number.
@@ -167,7 +167,7 @@ def representatives(sets: DataFrame) -> DataFrame:
     light = sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     first = F.row_number().over(Window.partitionBy("rep").orderBy("node")) == 1
     light = light.withColumn("id", F.when(first, F.col("rep")).otherwise(F.xxhash64("node")))
-    return merged(sets.withColumnRenamed("doc_id", "rep"), light, ["rep", "node"]).select("node", "id", "rep", "n", "bits", "prefix", "cold")
+    return merged(sets.select(F.col("doc_id").alias("rep"), "node", "n", "prefix", "cold"), light, ["rep", "node"]).select("node", "id", "rep", "n", "prefix", "cold")
 
 
 def postings(reps: DataFrame) -> DataFrame:
@@ -287,7 +287,8 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
             last = remaining["pairs"] <= rest_factor * remaining["rows"] or (i >= min_rounds and 2 * n_links < n_pairs)
             near = merged(rows, lists, "token")
             if last:
-                near = merged(near.select("token", "id", "n", "pos", "component", "main"), reps.select("id", "bits"), "id")
+                shapes = merged(sets.select("node", "bits").dropDuplicates(["node"]), reps.select("id", "node"), "node").select("id", "bits")
+                near = merged(near.select("token", "id", "n", "pos", "component", "main"), shapes, "id")
                 left = near.filter("component <> main").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), F.col("bits").alias("ba"), "main")
                 right = near.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
                 need = required("na", "nb", num, den)
@@ -314,7 +315,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
         if last:
             break
     released(spark, *done_with)
-    named = merged(reps.select("id", "node", "rep"), labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = merged(reps.select("id", "node", "rep").distinct(), labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = merged(named, least, "component").select("node", "component_id")
     out = merged(sets.select("doc_id", "n", "node"), ids, "node", "left")

@@ -408,9 +408,10 @@ def test_components(spark):
     for _ in edges:
         for u, v in edges:
             least[u] = least[v] = min(least[u], least[v])
-    got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
     alone = {x for x in least if all(x not in e or e[0] == e[1] for e in edges)}
-    assert {tuple(x) for x in got} == {(n, c) for n, c in least.items() if n not in alone} and len(got) == len(least) - len(alone)
+    for in_task in (1_000_000, 10):
+        got = components.components(spark.createDataFrame(edges, "u long, v long"), in_task).collect()
+        assert {tuple(x) for x in got} == {(n, c) for n, c in least.items() if n not in alone} and len(got) == len(least) - len(alone)
     assert components.components(spark.createDataFrame([], "u binary, v binary")).count() == 0
 
 
