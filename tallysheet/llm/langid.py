@@ -94,7 +94,7 @@ class Model:
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         """A row for each token: a known word's log frequencies, else what its n-grams say."""
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+        h = word_keys(tokens)
         at = np.minimum(np.searchsorted(self.words, h), max(0, len(self.words) - 1))
         known = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
         out = np.zeros((len(tokens), len(self.languages)))
@@ -105,8 +105,20 @@ class Model:
         return out
 
 
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def gram_key(gram: str) -> int:
+    """Up to three letters of 21 bits each."""
+    key = 0
+    for c in gram:
+        key = key << 21 | ord(c)
+    return key
+
+
 def counts(rows: DataFrame) -> DataFrame:
-    """(lang, kind, token, n): words (kind 0) and n-grams (their order) of a (lang, text) table; each task combines its own first."""
+    """(lang, kind, key, n): words (kind 0) and n-grams (their order) of a (lang, text) table, by key; each task combines its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by_worker("language")
@@ -115,17 +127,18 @@ def counts(rows: DataFrame) -> DataFrame:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 seen.setdefault(lang, Counter()).update(letters(text.as_py() or ""))
             for lang, found in seen.items():
-                out = Counter({(0, w): n for w, n in found.items()})
+                grams: dict[int, Counter] = {order: Counter() for order in ORDERS}
                 for w, n in found.items():
                     x = f" {w} "
                     for i in range(1, len(x)):
                         for order in ORDERS:
                             if i - order + 1 >= 0:
-                                out[order, x[i - order + 1 : i + 1]] += n
-                keys = list(out)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k for k, _ in keys], pa.int32()), pa.array([t for _, t in keys], pa.string()), pa.array([out[k] for k in keys], pa.int64())], ["lang", "kind", "token", "n"])
+                                grams[order][x[i - order + 1 : i + 1]] += n
+                for kind, of in ((0, found), *grams.items()):
+                    keys = word_keys(list(of)) if kind == 0 else np.fromiter(map(gram_key, of), np.int64, len(of))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of), pa.string()), pa.array(np.full(len(of), kind, np.int32)), pa.array(keys), pa.array(list(of.values()), pa.int64())], ["lang", "kind", "key", "n"])
 
-    return rows.mapInArrow(run, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_by: str = "doc_id", max_docs: int = 4000, smoothing: float = 0.5, seed: int = 3) -> Model:
@@ -136,24 +149,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_b
         raise ValueError("no labelled rows to learn from")
     rate = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, max_docs / n)) for k, n in sizes.items()])
     unit = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    found = counts(docs.filter(unit < rate).select("lang", "text")).toArrow()
     languages = sorted(sizes)
-    column = np.searchsorted(np.array(languages, object), np.array(found["lang"].to_pylist(), object))
-    kinds, n = found["kind"].to_numpy(), found["n"].to_numpy()
+    column = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
+    found = counts(docs.filter(unit < rate).select("lang", "text")).select(column.alias("lang"), "kind", "key", "n").toArrow()
+    langs, kinds, all_keys, n = (found[c].to_numpy() for c in ("lang", "kind", "key", "n"))
     scores, keys = {}, {}
     for kind in (0, *ORDERS):
-        own = np.flatnonzero(kinds == kind)
-        coded = found["token"].take(pa.array(own)).combine_chunks().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        table = np.zeros((len(names), len(languages)))
-        np.add.at(table, (coded.indices.to_numpy(), column[own]), n[own])
-        logs = np.log((table + smoothing) / (table.sum(axis=0) + smoothing * (len(names) + 1)))
-        if kind:
-            key = np.array([sum(ord(c) << (21 * (kind - 1 - i)) for i, c in enumerate(x)) for x in names], np.int64)
-        else:
-            key = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
-        order = np.argsort(key)
-        keys[kind], scores[kind] = key[order], logs[order].astype(np.float32)
+        own = kinds == kind
+        keys[kind], at = np.unique(all_keys[own], return_inverse=True)
+        table = np.zeros((len(keys[kind]), len(languages)))
+        table[at, langs[own]] = n[own]
+        scores[kind] = np.log((table + smoothing) / (table.sum(axis=0) + smoothing * (len(table) + 1))).astype(np.float32)
     share = np.array([sizes[x] for x in languages], float)
     return Model(languages, keys.pop(0), scores.pop(0), keys, scores, np.full(len(languages), -1.0), np.log(share / share.sum()))
 

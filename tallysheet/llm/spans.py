@@ -20,7 +20,7 @@ SENTENCES, WORDS = 3, 25
 #: Sentences end at marks, and after one word in so many, chosen by its hash.
 EVERY = 4
 #: Spans that a task holds before it gives on the first of each.
-HELD = 1_000_000
+HELD = 500_000
 
 #: Powers of an odd number modulo 2**64 and of its inverse, for hashes of windows.
 BASE = 0x9E3779B97F4A7C15 | 5

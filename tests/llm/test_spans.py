@@ -57,7 +57,7 @@ def say(r, n):
     return " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
 
 
-@pytest.mark.parametrize("held", [1_000_000, 10])
+@pytest.mark.parametrize("held", [500_000, 10])
 def test_against_brute_force(spark, docs, rows, empty, held, monkeypatch):
     monkeypatch.setattr(spans, "HELD", held)
     got = spans.drop_repeats(docs.withColumn("n_removed", F.lit("old")).withColumn("hashes", F.lit(1))).collect()
