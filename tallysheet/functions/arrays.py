@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,17 +53,35 @@ def reconciled(options: Column, others: int = 4, fewest: int = 5) -> Column:
     """The only combination of readings in which the candidates add up to valid, and valid, rejected and nota to total; null if there is none or more than one.
 
     options: an array of arrays of digit strings, one for each candidate, then valid, rejected, nota and total. Readings
-    that aren't numbers are passed over; with no reading left for a column, or fewer than `fewest` columns, there is no answer.
+    that aren't numbers are passed over, equal ones count once; with no reading left for a column, or fewer than `fewest` columns, there is no answer.
+    Sums are built column by column, each with one way to it and whether there are more, so the work is columns times
+    readings times different sums, not the product of all readings. An Arrow UDF, as a table of sums can't be folded by built-in functions.
     """
-    ints = F.transform(options, lambda o: F.array_distinct(F.filter(F.transform(o, lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())))
-    n = F.size(options)
-    usable = (n >= fewest) & ~F.exists(ints, lambda o: F.size(o) == 0)
-    return F.when(usable, _search(F.slice(ints, F.lit(1), F.greatest(n - others, F.lit(0))), F.get(ints, n - 4), F.get(ints, n - 3), F.get(ints, n - 2), F.get(ints, n - 1)))
-
-
-def _search(candidates: Column, valid: Column, rejected: Column, nota: Column, totals: Column) -> Column:
-    sums = F.aggregate(candidates, F.array(F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("picks"))), lambda acc, o: F.flatten(F.transform(acc, lambda s: F.transform(o, lambda x: F.struct((s["total"] + x).alias("total"), F.concat(s["picks"], F.array(x)).alias("picks"))))))
-    rest = F.flatten(F.transform(rejected, lambda r: F.transform(nota, lambda k: F.struct(r.alias("r"), k.alias("k")))))
-    tails = F.flatten(F.transform(valid, lambda v: F.flatten(F.transform(rest, lambda p: F.transform(F.filter(totals, lambda t: t == v + p["r"] + p["k"]), lambda t: F.array(v, p["r"], p["k"], t))))))
-    found = F.flatten(F.transform(tails, lambda t: F.transform(F.filter(sums, lambda s: s["total"] == F.get(t, 0)), lambda s: F.concat(s["picks"], t))))
-    return F.when(F.size(found) == 1, F.get(found, 0))
+
+    @F.pandas_udf("array<bigint>")
+    def only(column: pd.Series) -> pd.Series:
+        return column.map(lambda o: None if o is None else only_way([None if x is None else list(x) for x in o], others, fewest))
+
+    return only(options.cast("array<array<string>>"))
+
+
+def only_way(options: list[list[str | None] | None], others: int, fewest: int) -> list[int] | None:
+    read = [sorted({int(x) for x in o or () if x is not None and re.fullmatch(r"\s*[+-]?\d+\s*", x, re.ASCII)}) for o in options]
+    if len(read) < max(fewest, others) or not all(read):
+        return None
+    columns, (valid, rejected, nota, totals) = read[:-others], read[-others:]
+    if columns and min(o[0] for o in columns) >= 0:
+        most = valid[-1]
+    else:
+        most = None  # a negative reading can bring a sum down again
+    sums: dict[int, tuple[int, list[int]]] = {0: (1, [])}
+    for o in columns:
+        grown: dict[int, tuple[int, list[int]]] = {}
+        for total, (ways, picks) in sums.items():
+            for x in o:
+                if most is None or total + x <= most:
+                    before = grown.get(total + x)
+                    grown[total + x] = (min(2, ways + before[0]), before[1]) if before else (ways, [*picks, x])
+        sums = grown
+    found = [(ways, [*picks, v, r, k, v + r + k]) for v in valid if v in sums for ways, picks in (sums[v],) for r in rejected for k in nota if v + r + k in totals]
+    return found[0][1] if len(found) == 1 and found[0][0] == 1 else None

@@ -25,9 +25,9 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def change(before: Column, after: Column) -> Column:
-    """Struct of before, after, delta, delta_pct (2 decimals; null on a zero start) and available."""
+    """Struct of before, after, delta, delta_pct (2 decimals, half to even; null on a zero start) and available."""
     delta = after - before
-    pct = F.when(before != 0, F.round(delta.cast("decimal(38,6)") * 100 / before, 2).cast("double"))
+    pct = F.when(before != 0, F.bround(delta.cast("decimal(38,6)") * 100 / before, 2).cast("double"))
     return F.struct(before.alias("before"), after.alias("after"), delta.alias("delta"), pct.alias("delta_pct"), (before.isNotNull() & after.isNotNull()).alias("available"))
 
 

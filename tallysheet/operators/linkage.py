@@ -63,6 +63,31 @@ def bridge(review: DataFrame, rows: DataFrame, stations: DataFrame, least_buildi
     return ranked.filter((F.col("_rank") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("_next") >= gap)).select("id", F.col("part_number").alias("suggested_part"), "score")
 
 
+def word_share_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: float, words: str = "words") -> DataFrame:
+    """(left_id, right_id, n, share): pairs in which right has the share `least` or more of left's distinct words; words are arrays without repeats.
+
+    A pair of that share has one of left's rarest words, of as many as may be missing and one more; so pairs meet on those only,
+    and are then counted whole. A word that stands everywhere makes no pairs unless a text has hardly another. Pairs without a common word don't appear.
+    """
+    w = left.select(left_id, F.size(words).alias("_n"), F.explode(words).alias("_w"))
+    r = right.select(right_id, F.explode(words).alias("_w"))
+    common = r.join(w.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_df"))
+    rank = F.row_number().over(Window.partitionBy(left_id).orderBy(F.coalesce("_df", F.lit(0)), "_w"))
+    may_lack = F.col("_n") - F.ceil(F.col("_n") * F.lit(float(least)) - 1e-9)
+    keys = w.join(common, "_w", "left").withColumn("_k", rank).filter(F.col("_k") <= may_lack + 1).select(left_id, "_w")
+    pairs = r.join(keys, "_w").select(left_id, right_id).distinct()
+    both = pairs.join(left.select(left_id, F.col(words).alias("_a")), left_id).join(right.select(right_id, F.col(words).alias("_b")), right_id)
+    n = both.select(left_id, right_id, F.size(F.array_intersect("_a", "_b")).cast("long").alias("n"), F.size("_a").alias("_n"))
+    return n.withColumn("share", F.col("n") / F.col("_n")).filter(F.col("share") >= least).drop("_n")
+
+
+def best_by_gap(pairs: DataFrame, left_id: str, right_id: str, least: float, gap: float) -> DataFrame:
+    """The best right of each left, if its share is `least` or more and leads by `gap`; pairs has all of a share of least - gap or more."""
+    w = Window.partitionBy(left_id).orderBy(F.desc("share"), F.asc(right_id))
+    r = pairs.withColumn("_k", F.row_number().over(w)).withColumn("_second", F.coalesce(F.lead("share").over(w), F.lit(0.0)))
+    return r.filter((F.col("_k") == 1) & (F.col("share") >= least) & (F.col("share") - F.col("_second") >= gap)).drop("_k", "_second")
+
+
 def first_of_key(rows: DataFrame, key: Sequence[Column], order: Sequence[str]) -> DataFrame:
     """rows without those that repeat a key; the first in order stays."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_rank = 1").drop("_rank")

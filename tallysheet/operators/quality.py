@@ -66,11 +66,29 @@ def linked_duplicates(rows: DataFrame, group: str, serial: str, duplicate_of: st
 
 
 def gaps(rows: DataFrame, group: Sequence[str], number: str, upper: Column | None = None, from_one: bool = True) -> DataFrame:
-    """For each group, the numbers that are missing from 1 (or the least) to upper (or the greatest), in order."""
-    lo = F.lit(1) if from_one else F.min(number)
-    g = rows.groupBy(*group).agg(F.collect_set(number).alias("_set"), lo.cast("long").alias("_lo"), (upper if upper is not None else F.max(number)).cast("long").alias("_hi"))
-    missing = F.when(F.col("_hi") >= F.col("_lo"), F.array_except(F.sequence("_lo", "_hi"), F.transform("_set", lambda x: x.cast("long")))).otherwise(F.array().cast("array<bigint>"))
-    return g.select(*group, F.array_sort(missing).alias("missing"), F.size(missing).alias("n_missing"))
+    """For each group, the numbers that are missing from 1 (or the least) to upper (or the greatest): missing, an array of ranges (first, last) in order, and n_missing.
+
+    Ranges, so that a stray number of two thousand million costs no more than any other. upper is an aggregate; numbers above it don't count.
+    """
+    w = Window.partitionBy(*group).orderBy(number)
+    least = F.lit(1) if from_one else F.min(number)
+    ends = rows.groupBy(*group).agg(least.cast("long").alias("_lo"), (upper if upper is not None else F.max(number)).cast("long").alias("_hi"))
+    have = rows.filter(F.col(number).isNotNull()).select(*group, F.col(number).cast("long").alias(number)).distinct()
+    for g in group:
+        have, ends = have.withColumn(f"_key_{g}", F.col(g)), ends.withColumn(f"_end_{g}", F.col(g))
+    same = [F.col(f"_key_{g}").eqNullSafe(F.col(f"_end_{g}")) for g in group]
+    inside = have.drop(*group).join(ends.drop(*group), same).filter(F.col(number).between(F.col("_lo"), F.col("_hi"))).select(*[F.col(f"_key_{g}").alias(g) for g in group], number, "_lo", "_hi")
+    inside = inside.withColumn("_after", F.lead(number).over(w)).withColumn("_before", F.lag(number).over(w))
+    behind = F.struct((F.col(number) + 1).alias("first"), (F.coalesce("_after", F.col("_hi") + 1) - 1).alias("last"))
+    ahead = F.struct(F.col("_lo").alias("first"), (F.col(number) - 1).alias("last"))
+    holes = F.filter(F.when(F.col("_before").isNull(), F.array(ahead, behind)).otherwise(F.array(behind)), lambda x: x["first"] <= x["last"])
+    found = inside.groupBy(*group).agg(F.array_sort(F.flatten(F.collect_list(holes))).alias("missing"))
+    for g in group:
+        found = found.withColumn(f"_key_{g}", F.col(g))
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    whole = F.when(F.col("_hi") >= F.col("_lo"), F.array(F.struct(F.col("_lo").alias("first"), F.col("_hi").alias("last")))).otherwise(none)
+    out = ends.drop(*group).join(found.drop(*group), same, "left").select(*[F.col(f"_end_{g}").alias(g) for g in group], F.coalesce("missing", whole).alias("missing"))
+    return out.withColumn("n_missing", F.aggregate("missing", F.lit(0).cast("bigint"), lambda a, r: a + r["last"] - r["first"] + 1))
 
 
 def tail_outliers(rows: DataFrame, group: Sequence[str], number: str, jump: int = 100, fewest: int = 10) -> DataFrame:
@@ -136,7 +154,7 @@ def flags(total: Column, invalid: Column, low: Column, mean: Column, outliers: C
 
 
 def health(total: Column, invalid: Column, low: Column, provenance: Column, station_provenance: Column, mapping: Column, linked: Column) -> Column:
-    """Struct of the six scores (1 decimal), their rounded sum and its band."""
+    """Struct of the six scores (1 decimal), their rounded sum and its band. Halves are rounded to even."""
     n = F.when(total > 0, total.cast("double"))
     part = lambda points, loss: points * F.greatest(F.lit(0.0), 1 - loss)
     scores = {
@@ -147,8 +165,8 @@ def health(total: Column, invalid: Column, low: Column, provenance: Column, stat
         "link": F.when(linked, 15.0).otherwise(0.0),
         "mapping": F.when(mapping == "verified", 15.0).when(mapping == "review", 5.0).otherwise(0.0),
     }
-    rounded = {k: F.round(v, 1) for k, v in scores.items()}
-    sum_all = F.round(sum(rounded.values(), F.lit(0.0))).cast("int")
+    rounded = {k: F.bround(v, 1) for k, v in scores.items()}
+    sum_all = F.bround(sum(rounded.values(), F.lit(0.0))).cast("int")
     band = F.when(sum_all >= 75, "Strong").when(sum_all >= 50, "Partial").otherwise("Limited")
     return F.struct(*[v.alias(k) for k, v in rounded.items()], sum_all.alias("total"), band.alias("band"))
 

@@ -29,21 +29,48 @@ def with_margin(rows: DataFrame, votes: str = "votes", valid: str = "total_valid
     return rows.withColumn("margin", F.when(F.col("status") == "ok", arrays.margin(F.col(votes), F.col(valid))))
 
 
+def medians(rows: DataFrame, by: Sequence[str], **values: Column) -> DataFrame:
+    """The exact median of each named value in each group.
+
+    A group may hold all rows, so its values aren't sorted in one task: quantiles found approximately bound the median, and only the
+    values between them (about a thousandth) are counted and ordered; those below are just counted.
+    """
+    out = None
+    for name, value in values.items():
+        r = rows.filter(value.isNotNull()).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(by)], value.cast("double").alias("_v"))
+        keys = [f"_g{i}" for i in range(len(by))]
+        q = F.percentile_approx("_v", F.array(F.lit(0.4995), F.lit(0.5005)), F.lit(20_000))
+        ends = r.groupBy(*keys).agg(F.count("*").alias("_n"), q.alias("_q")).select(*[F.col(k).alias(f"_e{k}") for k in keys], "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+        near = r.join(ends, [F.col(k).eqNullSafe(F.col(f"_e{k}")) for k in keys]).withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))).filter("_v is null or _v <= _hi")
+        # Values below the bracket are one row (null), which comes first.
+        w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v"))
+        c = near.groupBy(*keys, "_v").agg(F.count("*").alias("_c"), F.any_value("_n").alias("_n")).withColumn("_to", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        at = lambda k: F.max(F.when((F.col("_to") > k) & (F.col("_to") - F.col("_c") <= k), F.col("_v")))  # noqa: E731, B023
+        m = c.groupBy(*keys).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias(name))
+        m = m.select(*[F.col(k).alias(f"_m{len(out.columns) if out is not None else 0}{k}") for k in keys], name)
+        if out is None:
+            out, first = m, m.columns[:-1]
+        else:
+            out = out.join(m, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(first, m.columns, strict=False)], "full").drop(*m.columns[:-1])
+    return out.select(*[F.col(a).alias(g) for a, g in zip(first, by, strict=True)], *values)
+
+
 def summary(rows: DataFrame, by: Sequence[str], id_col: str, valid: str = "total_valid") -> DataFrame:
     """For each group: rows, votes (null: 0), verified, review, medians of margin and margin_pct, close rows (under 5 %), narrowest and widest row (least id at ties)."""
     m, pct = F.col("margin.margin"), F.col("margin.margin_pct")
     has = F.when(m.isNotNull(), F.struct(m.alias("m"), F.col(id_col).alias("id")))
-    return rows.groupBy(*by).agg(
+    counts = rows.groupBy(*by).agg(
         F.count("*").alias("n_rows"),
         F.sum(F.coalesce(valid, F.lit(0))).alias("valid_votes"),
         F.count_if(F.col("status") == "ok").alias("verified"),
         F.count_if(F.col("status") != "ok").alias("review"),
-        F.median(m).alias("median_margin"),
-        F.median(pct).alias("median_margin_pct"),
         F.count_if(pct < 5).alias("close"),
         F.min(has)["id"].alias("narrowest"),
         F.max(F.when(m.isNotNull(), F.struct(m.alias("m"), (-F.col(id_col)).alias("id"))))["id"].alias("_widest"),
     ).withColumn("widest", -F.col("_widest")).drop("_widest")
+    mid = medians(rows, by, median_margin=m, median_margin_pct=pct)
+    mid = mid.select(*[F.col(g).alias(f"_m_{g}") for g in by], "median_margin", "median_margin_pct")
+    return counts.join(mid, [F.col(g).eqNullSafe(F.col(f"_m_{g}")) for g in by], "left").drop(*[f"_m_{g}" for g in by])
 
 
 def histogram(rows: DataFrame, by: Sequence[str], pct: Column) -> DataFrame:
@@ -102,10 +129,10 @@ def latest(rows: DataFrame, by: Sequence[str], order: Column, *values: str) -> D
     return rows.groupBy(*by).agg(F.max_by(F.struct(*values), order).alias("_r")).select(*by, "_r.*")
 
 
-def shares(rows: DataFrame, group: Sequence[str], name: str, votes: str, keep: int) -> DataFrame:
-    """Votes and share of the largest names of each group; the others together are `Others` (ties: by name)."""
-    w = Window.partitionBy(*group).orderBy(F.desc(votes), F.asc(name))
-    ranked = rows.withColumn("_rank", F.row_number().over(w))
-    label = F.when(F.col("_rank") <= keep, F.col(name)).otherwise(F.lit("Others"))
-    out = ranked.groupBy(*group, label.alias("name")).agg(F.sum(votes).alias("votes"))
-    return out.withColumn("share", F.col("votes") / F.sum("votes").over(Window.partitionBy(*group)))
+def shares(rows: DataFrame, group: Sequence[str], name: str, votes: str, least: float = 0.01, always: Sequence[str] = ("NOTA",)) -> DataFrame:
+    """Votes and share of each name of a group; those of a share under `least` are `Others` together, but for names that are always shown."""
+    w = Window.partitionBy(*group)
+    r = rows.groupBy(*group, name).agg(F.sum(votes).alias("votes")).withColumn("_all", F.sum("votes").over(w))
+    shown = (F.col("votes") >= least * F.col("_all")) | F.col(name).isin(*always)
+    out = r.groupBy(*group, F.when(F.coalesce(shown, F.lit(False)), F.col(name)).otherwise(F.lit("Others")).alias("name")).agg(F.sum("votes").alias("votes"), F.any_value("_all").alias("_all"))
+    return out.withColumn("share", F.when(F.col("_all") != 0, F.col("votes") / F.col("_all"))).drop("_all")

@@ -35,15 +35,16 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_a
 def nearest(rows: DataFrame, anchors: DataFrame, by: Sequence[str], at: str, anchor_at: str, anchor: str, tolerance: int) -> DataFrame:
     """rows with the nearest anchor of the same key within tolerance (ties: the smaller anchor), else null.
 
-    Both sides are put in buckets of the tolerance's width; a row meets its own bucket and the two beside it.
+    Both sides are put in buckets of the tolerance's width; a row meets its own bucket and the two beside it. Repeated
+    rows stay repeated: each has a number of its own before it is dealt to buckets.
     """
     width = max(1, tolerance)
-    r = rows.withColumn("_row", F.struct(*rows.columns)).withColumn("_b", F.floor(F.col(at) / width)).withColumn("_bucket", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)))
+    r = rows.withColumn("_row", F.struct(*rows.columns)).withColumn("_id", F.monotonically_increasing_id()).withColumn("_b", F.floor(F.col(at) / width)).withColumn("_bucket", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)))
     a = anchors.select(*[F.col(k).alias(f"_a_{k}") for k in by], F.col(anchor_at).alias("_aat"), F.col(anchor).alias("_anchor")).withColumn("_abucket", F.floor(F.col("_aat") / width))
     cond = (F.col("_bucket") == F.col("_abucket")) & (F.abs(F.col(at) - F.col("_aat")) <= tolerance)
     for k in by:
         cond = cond & (F.col(k) == F.col(f"_a_{k}"))
-    best = r.join(a, cond, "left").groupBy("_row").agg(F.min(F.when(F.col("_anchor").isNotNull(), F.struct(F.abs(F.col(at) - F.col("_aat")).alias("d"), F.col("_anchor").alias("x")))).alias("_best"))
+    best = r.join(a, cond, "left").groupBy("_id").agg(F.any_value("_row").alias("_row"), F.min(F.when(F.col("_anchor").isNotNull(), F.struct(F.abs(F.col(at) - F.col("_aat")).alias("d"), F.col("_anchor").alias("x")))).alias("_best"))
     return best.select("_row.*", F.col("_best.x").alias("nearest"), F.col("_best.d").alias("distance"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysheet.operators import linkage
@@ -48,13 +48,9 @@ def _word_set(c: str):
     return F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.col(c)), "[^a-zà-öø-ÿñß]+", " ")), " "), lambda x: F.length(x) >= 3))
 
 
-def _shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, n, share): distinct words of a passage in a document, counted by an equi-join on words. Passages are few (a table of fixed size); documents meet only those with which they share a word."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", _word_set("text").alias("ws"))
-    w = b.select("item_id", F.size("ws").alias("n_words"), F.explode("ws").alias("w"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(_word_set("text")).alias("w"))
-    n = d.join(w, "w").groupBy("item_id", "n_words", "doc_id").agg(F.count("*").alias("n"))
-    return n.select("item_id", "doc_id", "n", (F.col("n") / F.col("n_words")).alias("share"))
+def _share_join(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    sets = lambda name, key: table(spark, sf_dir, name).select(key, _word_set("text").alias("words"))
+    return linkage.word_share_join(sets("benchmark", "item_id"), sets("documents", "doc_id"), "item_id", "doc_id", least)
 
 
 SHARED = f"""WITH b AS (SELECT item_id, unnest(ws) AS w, len(ws) AS n_words FROM (SELECT item_id, {WORDS % 'text'} AS ws FROM benchmark)),
@@ -66,15 +62,14 @@ n AS (SELECT item_id, doc_id, count(*) AS n, count(*)::DOUBLE / any_value(n_word
 @query(SHARED + "SELECT item_id, doc_id, n FROM n WHERE share = 1")
 def place_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have every word of a passage."""
-    return _shared_words(spark, sf_dir).filter("share = 1").select("item_id", "doc_id", "n")
+    return _share_join(spark, sf_dir, 1.0).select("item_id", "doc_id", "n")
 
 
-@query(SHARED + ", r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(share) OVER w, 0) AS second FROM n WINDOW w AS (PARTITION BY item_id ORDER BY share DESC, doc_id)) SELECT item_id, doc_id, round(share, 6) AS best, round(share - second, 6) AS gap FROM r WHERE k = 1 AND share >= 0.6 AND share - second >= 0.15")
+@query(SHARED + ", r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(share) OVER w, 0) AS second FROM n WINDOW w AS (PARTITION BY item_id ORDER BY share DESC, doc_id)) SELECT item_id, doc_id, round(share, 6) AS best FROM r WHERE k = 1 AND share >= 0.6 AND share - second >= 0.15")
 def text_overlap_top1_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best document of a passage, if it leads by 0.15."""
-    w = Window.partitionBy("item_id").orderBy(F.desc("share"), F.asc("doc_id"))
-    r = _shared_words(spark, sf_dir).withColumn("k", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("share").over(w), F.lit(0.0)))
-    return r.filter("k = 1 and share >= 0.6 and share - second >= 0.15").select("item_id", "doc_id", F.round("share", 6).alias("best"), F.round(F.col("share") - F.col("second"), 6).alias("gap"))
+    """The best document of a passage, if it has 0.6 of its words and leads by 0.15."""
+    best = linkage.best_by_gap(_share_join(spark, sf_dir, 0.45), "item_id", "doc_id", 0.6, 0.15)
+    return best.select("item_id", "doc_id", F.round("share", 6).alias("best"))
 
 
 @query("""WITH l AS (SELECT l_partkey AS id, list_sort(list(DISTINCT l_suppkey % 8) FILTER (l_returnflag = 'A')) AS p, list_sort(list(DISTINCT l_suppkey % 8) FILTER (l_returnflag = 'R')) AS b FROM lineitem GROUP BY 1),

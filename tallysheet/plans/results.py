@@ -145,9 +145,10 @@ def winner_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.winner_changes(seat_winners(spark, sf_dir), ["c_nationkey"], "yr").select("c_nationkey", "yr", "winner", "previous", "changed")
 
 
-@query(VOTES + ", k AS (SELECT c_nationkey, yr, CASE WHEN row_number() OVER (PARTITION BY c_nationkey, yr ORDER BY votes DESC, c_mktsegment) <= 3 THEN c_mktsegment ELSE 'Others' END AS name, votes FROM v), s AS (SELECT c_nationkey, yr, name, sum(votes)::BIGINT AS votes FROM k GROUP BY ALL) SELECT c_nationkey, yr, name, votes, round(votes::DOUBLE / sum(votes) OVER (PARTITION BY c_nationkey, yr), 6) AS share FROM s")
+@query(VOTES + ", t AS (SELECT *, sum(votes) OVER (PARTITION BY c_nationkey, yr) AS al FROM v), s AS (SELECT c_nationkey, yr, CASE WHEN votes >= 0.15::DOUBLE * al OR c_mktsegment = 'MACHINERY' THEN c_mktsegment ELSE 'Others' END AS name, sum(votes)::BIGINT AS votes, any_value(al) AS al FROM t GROUP BY ALL) SELECT c_nationkey, yr, name, votes, round(votes::DOUBLE / al, 6) AS share FROM s")
 def vote_share_others(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.shares(segment_votes(spark, sf_dir), ["c_nationkey", "yr"], "c_mktsegment", "votes", 3).withColumn("share", F.round("share", 6))
+    """Segments of under 15 % are others; one segment is always shown."""
+    return results.shares(segment_votes(spark, sf_dir), ["c_nationkey", "yr"], "c_mktsegment", "votes", 0.15, ["MACHINERY"]).withColumn("share", F.round("share", 6))
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY 1")
@@ -158,7 +159,7 @@ def latest_view_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH y AS (SELECT o_custkey % 50 AS grp, year(o_orderdate)::INT AS yr, count(*) AS n FROM orders GROUP BY ALL),
 b AS (SELECT grp, yr, lag(n) OVER (PARTITION BY grp ORDER BY yr) AS before, n AS after FROM y)
-SELECT grp, yr, before, after, after - before AS delta, round((after - before) * 100.0::DOUBLE / before, 2) AS delta_pct, before IS NOT NULL AS available FROM b""")
+SELECT grp, yr, before, after, after - before AS delta, round_even((after - before) * 100.0::DOUBLE / before, 2) AS delta_pct, before IS NOT NULL AS available FROM b""")
 def change_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 

@@ -49,6 +49,52 @@ def test_reconciled(spark):
     assert one(spark, arrays.reconciled(o(["42"], ["1"], ["2"], ["45"]))) is None  # too few columns
 
 
+def test_reconciled_takes_many_readings(spark):
+    """The product of the readings has 4 ** 14 entries; the sums are few."""
+    r = __import__("random").Random(1)
+    true = [r.randrange(10, 400) for _ in range(14)]
+    options = [[str(t), str(t + 1000), "x", str(t)] for t in true] + [[str(sum(true))], ["3"], ["4"], [str(sum(true) + 7)]]
+    assert arrays.only_way(options, 4, 5) == [*true, sum(true), 3, 4, sum(true) + 7]
+    got = spark.createDataFrame([(options,), (None,), ([["1"]] * 5,)], "o array<array<string>>").select(arrays.reconciled(F.col("o")).alias("r")).collect()
+    assert [x["r"] for x in got] == [[*true, sum(true), 3, 4, sum(true) + 7], None, None]
+
+
+def test_halves_are_rounded_to_even(spark):
+    none = F.lit(None).cast("string")
+    h = one(spark, quality.health(F.lit(1000), F.lit(0), F.lit(0), F.lit(150), F.lit(False), none, F.lit(True)))
+    assert (h["provenance"], h["total"]) == (2.2, 72)  # 2.25 and 72.2
+    assert one(spark, numbers.change(F.lit(800), F.lit(801)))["delta_pct"] == 0.12  # 0.125
+
+
+def test_repeated_rows_keep_their_anchors(spark):
+    rows = spark.createDataFrame([("a", 5), ("a", 5), ("a", 90)], "k string, at int")
+    anchors = spark.createDataFrame([("a", 4, 1), ("a", 6, 2)], "k string, at int, x int")
+    got = sequence.nearest(rows, anchors, ["k"], "at", "at", "x", 3).collect()
+    assert sorted((r["at"], r["nearest"]) for r in got if r["nearest"]) == [(5, 1), (5, 1)] and len(got) == 3
+
+
+def test_gaps_of_a_stray_number_are_ranges(spark):
+    rows = spark.createDataFrame([("a", 2), ("a", 2), ("a", 2_000_000_000), (None, 1), (None, 3), ("b", None)], "g string, n int")
+    got = {r["g"]: ([tuple(x) for x in r["missing"]], r["n_missing"]) for r in quality.gaps(rows, ["g"], "n").collect()}
+    assert got == {"a": ([(1, 1), (3, 1_999_999_999)], 1_999_999_998), None: ([(2, 2)], 1), "b": ([], 0)}
+    got = quality.gaps(rows, ["g"], "n", upper=F.lit(4)).collect()
+    assert {r["g"]: [tuple(x) for x in r["missing"]] for r in got} == {"a": [(1, 1), (3, 4)], None: [(2, 2), (4, 4)], "b": [(1, 4)]}
+
+
+def test_medians_of_groups(spark):
+    r = __import__("random").Random(2)
+    rows = [(g, r.choice([None, r.randint(0, 10**6) / 8])) for g in ("a", "b", None) for _ in range({"a": 9001, "b": 2}.get(g, 500))]
+    got = {x["g"]: x["m"] for x in results.medians(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], m=F.col("v")).collect()}
+    for g in ("a", "b", None):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got.get(g) == (__import__("statistics").median(own) if own else None)
+
+
+def test_shares_show_what_is_always_shown(spark):
+    rows = spark.createDataFrame([(1, "A", 900), (1, "B", 95), (1, "C", 3), (1, "NOTA", 2), (1, None, 0)], "g int, name string, votes int")
+    assert {r["name"]: r["votes"] for r in results.shares(rows, ["g"], "name", "votes").collect()} == {"A": 900, "B": 95, "Others": 3, "NOTA": 2}
+
+
 def test_text(spark):
     t = lambda f, *a: one(spark, f(*[F.lit(x) for x in a]))
     assert t(text.place_found_in, "काला गांव", "प्राथमिक विद्यालय कालागाव") is True
@@ -97,7 +143,7 @@ def test_tail_outliers(spark, numbers_, want):
 def test_gaps(spark):
     df = spark.createDataFrame([(1, 2), (1, 5), (2, 0)], "g int, n long")
     got = {r["g"]: r["missing"] for r in quality.gaps(df, ["g"], "n").collect()}
-    assert got == {1: [1, 3, 4], 2: []}
+    assert got == {1: [(1, 1), (3, 4)], 2: []}
 
 
 def test_health_and_flags(spark):
