@@ -35,11 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written as Parquet in the shared folder and read back: it survives lost executors, and later reads take only the columns they need."""
+    """df written as Parquet in the shared folder and read back: it survives lost executors, and later reads take only the columns they need.
+
+    The driver's JVM then collects its garbage: Spark deletes the shuffle files of a finished job once its plan is gone, and
+    a chain of jobs on a driver with memory to spare would else keep the files of all.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _LEFT.add(path)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 
