@@ -159,23 +159,23 @@ def signatures(docs: DataFrame, size: int, num: int, den: int, order, hot: int)
 
 
 def representatives(sets: DataFrame) -> DataFrame:
-    """(node, id, rep, n, prefix, cold): the least document of each set, and the set's own columns (again for each row that repeats an id and its text).
+    """(node, id, rep): the least document of each set. Copies are combined before the shuffle.
 
     id is a number for the set: that of its least document. Where rows repeat an id with other texts, it may be the least of
     two sets; then one of them has a hash of the set as its number.
     """
     light = sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     first = F.row_number().over(Window.partitionBy("rep").orderBy("node")) == 1
-    light = light.withColumn("id", F.when(first, F.col("rep")).otherwise(F.xxhash64("node")))
-    return merged(sets.select(F.col("doc_id").alias("rep"), "node", "n", "prefix", "cold"), light, ["rep", "node"]).select("node", "id", "rep", "n", "prefix", "cold")
+    return light.withColumn("id", F.when(first, F.col("rep")).otherwise(F.xxhash64("node")))
 
 
-def postings(reps: DataFrame) -> DataFrame:
+def postings(sets: DataFrame, reps: DataFrame) -> DataFrame:
     """(token, id, n, pos, head) for the prefixes of each set, of tokens that stand in two sets or more; head is one set of the token's list, by hash of token and set: a group that shares many tokens gets as many heads.
 
     Tokens that aren't hot have bounded lists, which are windows. Lists of hot ones are aggregated, and joined to their heads: adaptive execution can split them.
     """
-    one = reps.select("id", "n", "cold", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    own = merged(sets.select(F.col("doc_id").alias("rep"), "node", "n", "prefix", "cold"), reps, ["rep", "node"])
+    one = own.select("id", "n", "cold", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     parts = [one.filter(f"pos {op} cold").select("token", "id", "n", "pos") for op in ("<", ">=")]
     near = Window.partitionBy("token").orderBy(F.xxhash64("token", "id"), "id")
     cold = parts[0].withColumn("_before", F.lag("id").over(near)).withColumn("_after", F.lead("id").over(near))
@@ -187,11 +187,18 @@ def postings(reps: DataFrame) -> DataFrame:
 
 
 def to_bytes(s: np.ndarray) -> bytes:
-    return s.astype("<u8").tobytes()
+    """Sorted hashes by their differences, byte by byte of the same rank, compressed: the upper bytes are mostly 0."""
+    import zstandard
+
+    x = np.diff(s, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.T).tobytes())
 
 
 def from_bytes(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<u8")
+    import zstandard
+
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(x.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
@@ -265,9 +272,11 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
     spark = docs.sparkSession
     docs = columns(docs, *dict.fromkeys([id_col, text_col])).selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     order = spark.sparkContext.broadcast(global_order(docs, size, fragments))
-    sets, _ = staged(signatures(docs, size, num, den, order, hot), "sets")
-    reps, _ = staged(representatives(sets), "reps")
-    shared, shared_path = staged(postings(reps), "postings")
+    whole, whole_path = staged(signatures(docs, size, num, den, order, hot), "signatures")
+    reps, _ = staged(representatives(whole), "reps")
+    shared, shared_path = staged(postings(whole, reps), "postings")
+    sets, _ = staged(whole.select("doc_id", "n", "node", "bits"), "sets")
+    released(spark, whole_path)
     checked, labels, edges, done_with = [], None, None, [shared_path]
     for i in itertools.count():
         if i == 0:
