@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -109,5 +111,15 @@ def kept_by_worker(name: str, make=lambda: None):
     """What a Python worker keeps from task to task for one operator. What it kept for another operator goes, so that a chain of operators needs no more memory than the largest."""
     if name not in _KEPT:
         _KEPT.clear()
+        _trim()
         _KEPT[name] = make()
     return _KEPT[name]
+
+
+def _trim() -> None:
+    """Gives memory that the last operator used back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

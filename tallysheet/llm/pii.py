@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tallysheet.llm.common import columns
+from tallysheet.llm.common import columns, kept_by_worker
 
 ROUNDS = 8
 
@@ -255,6 +255,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
     schema, at = docs.schema, keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("pseudonyms")
         for b in batches:
             texts, counts, kinds = [], [], []
             for x in b.column(at):
