@@ -73,7 +73,7 @@ class WordIds(dict):
 
     def of_text(self, text: str, pat: str, special_strings: bool = True) -> bytes:
         """The ids of a text; with special_strings, the strings of added tokens are their ids."""
-        if special_strings and self.cut is not None and self.cut.search(text):
+        if special_strings and any(x in text for x in self.special):
             return b"".join(self.special[x] if x in self.special else self.of_text(x, pat, False) for x in self.cut.split(text) if x)
         return b"".join(map(self.__getitem__, pretokens(text, pat)))
 
