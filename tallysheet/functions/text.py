@@ -203,12 +203,13 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
 
 
-def legacy_font(x: Column, share: float = 0.55, longest: int = 20) -> Column:
-    """Text in a font of its own encoding: twenty characters and more, mostly ASCII, hardly any Devanagari."""
-    n = F.length(x)
-    plain = F.length(F.regexp_replace(x, r"[^\x21-\x7e]", ""))
-    native = F.length(F.regexp_replace(x, r"[^\x{0900}-\x{097F}]", ""))
-    return F.coalesce((n >= longest) & (plain >= share * n) & (native < 0.2 * n), F.lit(False))
+def legacy_font(x: Column, share: float = 0.55, fewest: int = 20) -> Column:
+    """Text in a font of its own encoding: twenty characters and more (white space aside), that share of them ASCII letters, at most a fifth Devanagari."""
+    t = F.regexp_replace(x, r"\s+", "")
+    n = F.length(t)
+    letters = F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
+    native = F.length(F.regexp_replace(t, r"[^\x{0900}-\x{097F}]", ""))
+    return F.coalesce((n >= fewest) & (letters >= share * n) & (native <= 0.2 * n), F.lit(False))
 
 
 def decoder(table: dict[str, str], reorder: tuple[tuple[str, str], ...] = ()):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallysheet.plans import coverage, linkage, overview, quality, results, store, texts  # noqa: F401
+from tallysheet.plans import coverage, linkage, overview, quality, reports, results, store, texts  # noqa: F401
 from tallysheet.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -35,16 +35,6 @@ def mergeable_aggregate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fine.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).select("l_returnflag", "n", F.round(F.col("q") / F.col("n"), 6).alias("mean_quantity"))
 
 
-@query("""WITH a AS (SELECT c_nationkey, (18 + c_custkey % 70)::INT AS age, c_custkey AS serial, c_mktsegment FROM customer)
-SELECT c_nationkey, count(*) AS n, count(*) FILTER (age BETWEEN 18 AND 25) AS age_18_25, count(*) FILTER (age BETWEEN 26 AND 40) AS age_26_40, count(*) FILTER (age BETWEEN 41 AND 60) AS age_41_60, count(*) FILTER (age BETWEEN 61 AND 200) AS age_61_up, min(serial) AS min_serial, max(serial) AS max_serial, max(serial) - min(serial) + 1 - count(DISTINCT serial) AS n_gaps, round((count(*) - 60) * 100.0::DOUBLE / 60, 4) AS diff_pct FROM a GROUP BY 1""")
-def booth_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of a nation as a roll of 60: bands of a made-up age, serial range, gaps and the difference to the official count."""
-    a = table(spark, sf_dir, "customer").select("c_nationkey", (18 + F.col("c_custkey") % 70).cast("int").alias("age"), F.col("c_custkey").alias("serial"))
-    band = lambda lo, hi: F.count_if(F.col("age").between(lo, hi))
-    n = F.count("*")
-    return a.groupBy("c_nationkey").agg(n.alias("n"), band(18, 25).alias("age_18_25"), band(26, 40).alias("age_26_40"), band(41, 60).alias("age_41_60"), band(61, 200).alias("age_61_up"), F.min("serial").alias("min_serial"), F.max("serial").alias("max_serial"), (F.max("serial") - F.min("serial") + 1 - F.countDistinct("serial")).alias("n_gaps"), F.round((n - 60) * 100.0 / 60, 4).alias("diff_pct"))
-
-
 @query("SELECT event_type, coalesce(round(100.0::DOUBLE * count(*) FILTER (value > 1000000000) / nullif(count(*) FILTER (value > 2000000000), 0), 6), 0.0) AS empty_rate, round(100.0::DOUBLE * count(*) FILTER (user_id % 2 = 0) / count(*), 6) AS even_rate FROM events GROUP BY 1")
 def rates_zero_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 1e9).alias("a"), F.count_if(F.col("value") > 2e9).alias("b"), F.count_if(F.col("user_id") % 2 == 0).alias("even"), F.count("*").alias("n"))
