@@ -239,5 +239,10 @@ def clean_share(x: Column, stray: str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.regexp_count(x, F.lit(stray)) / F.greatest(F.length(x), F.lit(1))))
 
 
+def padded(n: Column, width: int) -> Column:
+    """A number with leading zeros; a wider one stays whole."""
+    return F.format_string(f"%0{width}d", n.cast("long"))
+
+
 def percent_encoded_path(*parts: Column) -> Column:
     return F.concat_ws("/", *[F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")) for p in parts])

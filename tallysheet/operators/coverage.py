@@ -62,6 +62,11 @@ def pending(planned: DataFrame, ledger: DataFrame, key: Sequence[str], version:
     return planned.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
+def unattempted(complete: DataFrame, mapped: DataFrame, attempts: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Complete keys that are neither mapped nor in the ledger of attempts, whatever came of those."""
+    return complete.join(mapped.select(*key), list(key), "left_anti").join(attempts.select(*key), list(key), "left_anti")
+
+
 def plan(stages: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
     """(stage_no, stage, items, needed, reason) from tables of what each stage still has to do."""
     parts = [t.agg(F.count("*").alias("items")).select(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), "items", (F.col("items") > 0).alias("needed"), F.when(F.col("items") > 0, F.concat(F.col("items").cast("string"), F.lit(f" {reason}"))).otherwise("complete").alias("reason")) for i, (name, t, reason) in enumerate(stages)]

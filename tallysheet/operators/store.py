@@ -32,6 +32,15 @@ def upsert_keep(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame
     return o.join(n, cond, "full_outer").select(*pick)
 
 
+def upsert_in_state(old: DataFrame, new: DataFrame, key: Sequence[str], state: str) -> DataFrame:
+    """old without the rows that new replaces, and new. A row is replaced by one of the same key (nulls are equal) and state; a row without a state by one of any state."""
+    n = new.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(state).alias("_new_state"))
+    same = old[state].isNull() | (old[state] == n["_new_state"])
+    for k in key:
+        same = old[k].eqNullSafe(n[f"_{k}"]) & same
+    return old.join(n, same, "left_anti").unionByName(new)
+
+
 def replace_by_parent(old: DataFrame, new: DataFrame, parents: DataFrame, key: Sequence[str]) -> DataFrame:
     """old without the rows of the given parents, and new. A parent without new rows loses its rows."""
     return old.join(parents.select(*key).distinct(), list(key), "left_anti").unionByName(new.select(*old.columns))

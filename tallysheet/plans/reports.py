@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysheet.functions import fonts, numbers, text
-from tallysheet.operators import coverage, linkage, quality, reports, search, sequence
+from tallysheet.operators import coverage, linkage, quality, reports, search, sequence, store
 from tallysheet.plans.registry import query, table
 from tallysheet.sources import html, records
+from tallysheet.streaming import events
 
 #: The mean of hundredths {0} over {1} rows to 4 decimals, half to even, by whole numbers.
 MEAN = "coalesce(({0} * 100 // {1} + CASE WHEN {0} * 100 % {1} * 2 > {1} OR ({0} * 100 % {1} * 2 = {1} AND {0} * 100 // {1} % 2 = 1) THEN 1 ELSE 0 END) / 10000.0::DOUBLE, 0)"
@@ -259,3 +260,58 @@ def text_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at FROM orders")
 def dates_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+
+
+@query("""WITH o AS (SELECT c_custkey % 40 AS ac, CASE WHEN c_custkey % 6 > 0 THEN c_custkey // 40 END AS part, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 END AS state, c_name AS v FROM customer),
+n AS (SELECT p_partkey % 40 AS ac, CASE WHEN p_partkey % 7 > 0 THEN p_partkey // 40 END AS part, p_size % 2 + 1 AS state, p_name AS v FROM part)
+SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.ac = o.ac AND n.part IS NOT DISTINCT FROM o.part AND (o.state IS NULL OR o.state = n.state)) UNION ALL SELECT * FROM n""")
+def upsert_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, p, k = F.col("c_custkey"), F.col("p_partkey"), lambda x: F.floor(x / 40)
+    old = table(spark, sf_dir, "customer").select((c % 40).alias("ac"), F.when(c % 6 > 0, k(c)).alias("part"), F.when(c % 3 > 0, c % 3).alias("state"), F.col("c_name").alias("v"))
+    new = table(spark, sf_dir, "part").select((p % 40).alias("ac"), F.when(p % 7 > 0, k(p)).alias("part"), (F.col("p_size") % 2 + 1).cast("long").alias("state"), F.col("p_name").alias("v"))
+    return store.upsert_in_state(old, new, ["ac", "part"], "state")
+
+
+@query("SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')")
+def never_attempted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k")
+    return coverage.unattempted(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), o.filter("o_orderstatus = 'P'"), o.filter("o_orderpriority = '5-LOW'"), ["k"])
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 12 hours, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 hours * i, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY ALL")
+def event_windows_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a day that begin each twelve hours."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.windowed_counts(e, "1 day", slide="12 hours").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 hours THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 6 hours) AS end_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = events.sessions(e, "6 hours")
+    return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("SELECT page_id, page_id::INT AS number, 'N ' || page_id AS name, '/p/' || page_id AS href FROM pages")
+def html_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid put behind each page: a header row, an entry, and the pager's row."""
+    k = F.col("page_id").cast("string")
+    rows = F.concat(F.lit("<table><tr><th>No</th></tr><tr><td> "), k, F.lit("</td><td><b>N</b> "), k, F.lit("</td><td><a class='x' href='/p/"), k, F.lit("'>show</a></td></tr><tr><td>1</td><td><a href=\"javascript:x('Page$2')\">2</a></td></tr></table>"))
+    return html.grid_entries(table(spark, sf_dir, "pages").select("page_id", rows.alias("html")))
+
+
+@query("""WITH l AS (SELECT p_partkey, p_name || ' ' || p_size || CASE WHEN p_partkey % 4 = 0 THEN ' and 7' ELSE '' END AS label, '/p/' || p_partkey AS href FROM part),
+s AS (SELECT p_partkey, label, href, list_distinct([p_size] || CASE WHEN p_partkey % 4 = 0 THEN [7] ELSE [] END) AS seen, p_name FROM l JOIN part USING (p_partkey)),
+h AS (SELECT *, list_filter(seen, lambda n: n BETWEEN 5 AND 9) AS d, list_filter(seen, lambda n: n IN (20, 30) AND contains(p_name, CASE n WHEN 20 THEN 'cold' ELSE 'hot' END)) AS s FROM s)
+SELECT p_partkey, CASE WHEN len(d) = 1 THEN d[1] ELSE s[1] END AS number FROM h WHERE len(d) = 1 OR (len(d) = 0 AND len(s) = 1)""")
+def links_to_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    found = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_size", F.when(k % 4 == 0, " and 7").otherwise("")).alias("label"), F.concat(F.lit("/p/"), k).alias("href"))
+    names = F.create_map(F.lit(20), F.array(F.lit("COLD")), F.lit(30), F.array(F.lit("hot")))
+    return html.attributed(found, F.array(*map(F.lit, range(5, 10))), state_names=names).select("p_partkey", "number")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size || '/' || CASE WHEN p_partkey < 1000 THEN lpad(p_partkey::VARCHAR, 3, '0') ELSE p_partkey::VARCHAR END || '-' || p_name AS path FROM part")
+def padded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(text.padded(F.col("p_size"), 2), F.lit("/"), text.padded(F.col("p_partkey"), 3), F.lit("-"), "p_name").alias("path"))

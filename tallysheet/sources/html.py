@@ -72,8 +72,26 @@ def of_year(url: Column, year: Column) -> Column:
     return (found == "") | (found == F.lpad((year % 100).cast("string"), 2, "0"))
 
 
-def attributed(found: DataFrame, district_numbers: Column, label: str = "label") -> DataFrame:
-    """Links whose label has exactly one of a district's numbers, with it; repeated (number, href) go."""
-    seen = F.transform(F.regexp_extract_all(F.col(label), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+def grid_entries(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """(id, number, name, href) of a grid's rows: those with a number in front and a link. Header rows and the pager's row, whose links turn pages, are passed over."""
+    rows = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    r = pages.select(id_col, F.explode(rows).alias("_r")).filter(~F.col("_r").rlike(r"(?i)Page\$\d"))
+    cells = F.transform(F.regexp_extract_all(F.col("_r"), F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), plain)
+    href = F.nullif(F.regexp_extract("_r", r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+    out = r.select(id_col, F.get(cells, F.lit(0)).try_cast("int").alias("number"), F.get(cells, F.lit(1)).alias("name"), href.alias("href"))
+    return out.filter("number is not null and href is not null")
+
+
+def attributed(found: DataFrame, district_numbers: Column, label: str = "label", state_names: Column | None = None) -> DataFrame:
+    """Links with the number that their label has; links for none or several numbers, and repeated (number, href), go.
+
+    That is the only one of the district's numbers in the label. Where none is, it is the only number of state_names (a map from number to
+    names) that stands in the label together with one of its names.
+    """
+    low = F.lower(F.col(label))
+    seen = F.array_distinct(F.transform(F.regexp_extract_all(F.col(label), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")))
     hit = F.array_intersect(seen, district_numbers)
+    if state_names is not None:
+        named = F.filter(seen, lambda n: F.exists(F.coalesce(F.try_element_at(state_names, n), F.array().cast("array<string>")), lambda x: low.contains(F.lower(x))))
+        hit = F.when(F.size(hit) == 0, named).otherwise(hit)
     return found.withColumn("_hit", hit).filter(F.size("_hit") == 1).withColumn("number", F.get("_hit", F.lit(0))).drop("_hit").dropDuplicates(["number", "href"])

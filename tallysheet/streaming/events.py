@@ -15,10 +15,16 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Counts and value sums by window and type; runs on a stream or a table."""
+def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts and value sums by window and type; runs on a stream or a table. With slide, a window begins so often and an event is in several."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
-    return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return timed.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str, by: str = "user_id", late: str = "1 hour") -> DataFrame:
+    """(by, start, end, n): runs of events with less than the gap between; end is the last event's time and the gap. On a stream a session comes out once the watermark has passed its end."""
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    return timed.groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def keep_ledger(events: DataFrame, path: str, checkpoint: str, key: tuple[str, ...] = ("user_id", "event_type")):
