@@ -63,6 +63,23 @@ def bridge(review: DataFrame, rows: DataFrame, stations: DataFrame, least_buildi
     return ranked.filter((F.col("_rank") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("_next") >= gap)).select("id", F.col("part_number").alias("suggested_part"), "score")
 
 
+def evaluated(mappings: DataFrame, stations: DataFrame, rows: DataFrame, ac: str = "ac_number") -> DataFrame:
+    """mappings with status, part (of verified ones), suggestions (parts, for review) and same_number (whether the constituency has a station of that number).
+
+    mappings: id, from_part, ac, area, to_part, building; stations: ac, part_number, text, name, areas; rows: the list between the editions, see bridge.
+    The same mapping stored twice counts once, the first by from_part, to_part, id. What the list points to replaces the candidates of a review row; it never verifies one.
+    """
+    key = [F.col("from_part"), text.normalise(F.col("area")), F.col(ac), F.col("to_part")]
+    first = first_of_key(mappings, key, ["from_part", "to_part", "id"])
+    d = place_decisions(first, stations, ac).select("id", "decision.*")
+    review = first.join(d.filter("status = 'review'").select("id"), "id", "left_semi").select("id", ac, "to_part", "building")
+    b = bridge(review, rows, stations).select("id", "suggested_part")
+    out = first.join(d, "id").join(b, "id", "left")
+    out = out.withColumn("suggestions", F.when(F.col("suggested_part").isNotNull(), F.array(F.col("suggested_part").cast("bigint"))).otherwise(F.col("candidates")))
+    numbers = stations.select(ac, F.col("part_number").alias("to_part"), F.lit(True).alias("same_number")).distinct()
+    return out.drop("candidates", "suggested_part").join(numbers, [ac, "to_part"], "left").withColumn("same_number", F.coalesce("same_number", F.lit(False)))
+
+
 def word_share_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: float, words: str = "words") -> DataFrame:
     """(left_id, right_id, n, share): pairs in which right has the share `least` or more of left's distinct words; words are arrays without repeats.
 
