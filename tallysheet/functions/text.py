@@ -72,40 +72,79 @@ def place_tokens(place: Column) -> Column:
     return _tokens(place, 2, _stop(PLACE_STOP_WORDS))
 
 
-def _without_spaces(x: Column) -> Column:
+def unspaced(x: Column) -> Column:
+    """The text that words are looked for in: normalised, without spaces."""
     return F.replace(normalise(x), F.lit(" "), F.lit(""))
 
 
+def _found(words: Column, hay: Column) -> Column:
+    return F.size(F.filter(words, lambda w: hay.contains(w)))
+
+
+def place_within(tokens: Column, hay: Column) -> Column:
+    """See place_found_in; tokens of place_tokens, hay of unspaced."""
+    return (F.size(tokens) > 0) & F.forall(tokens, lambda w: hay.contains(w))
+
+
 def place_found_in(place: Column, text: Column) -> Column:
     """Every token of the place stands in the text, spaces aside; false without tokens."""
-    t, hay = place_tokens(place), _without_spaces(text)
-    return (F.size(t) > 0) & F.forall(t, lambda w: hay.contains(w))
+    return place_within(place_tokens(place), unspaced(text))
 
 
 def _no_brackets(x: Column) -> Column:
     return F.regexp_replace(_blank(x), r"(?s)\(.*", " ")
 
 
+def _letters(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
+
+
+def building_tokens(building: Column) -> Column:
+    """The building's distinctive tokens."""
+    return _tokens(_no_brackets(building), 3, _stop(BUILDING_STOP_WORDS))
+
+
+def building_within(tokens: Column, hay: Column, share: float = 0.75) -> Column:
+    """See building_matches; tokens of building_tokens, hay of unspaced."""
+    return F.when(_letters(tokens) >= 5, _found(tokens, hay) >= share * F.size(tokens))
+
+
 def building_matches(building: Column, text: Column, share: float = 0.75) -> Column:
     """That share of the building's distinctive tokens stands in the text; null if they have fewer than five letters."""
-    t, hay = _tokens(_no_brackets(building), 3, _stop(BUILDING_STOP_WORDS)), _without_spaces(text)
-    letters = F.aggregate(t, F.lit(0), lambda a, w: a + F.length(w))
-    return F.when(letters >= 5, F.size(F.filter(t, lambda w: hay.contains(w))) >= share * F.size(t))
+    return building_within(building_tokens(building), unspaced(text), share)
 
 
-def building_phrase_in(building: Column, name: Column) -> Column:
-    """The building's place phrase stands in the name as whole words; null if it has fewer than four letters."""
+def building_phrase(building: Column) -> Column:
+    """The building's place phrase between spaces; null if it has fewer than four letters."""
     stop = _stop(BUILDING_STOP_WORDS)
     kept = [w for w in stop if w not in _stop(("गांव", "ग्राम"))]
     words = F.filter(F.split(normalise(_no_brackets(building)), " "), lambda w: ~stem(w).isin(kept) & (w != ""))
-    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    return F.when(letters >= 4, F.concat(F.lit(" "), normalise(name), F.lit(" ")).contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))))
+    return F.when(_letters(words) >= 4, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
+
+
+def whole_words(name: Column) -> Column:
+    """The name that a phrase is looked for in: normalised, between spaces."""
+    return F.concat(F.lit(" "), normalise(name), F.lit(" "))
+
+
+def building_phrase_in(building: Column, name: Column) -> Column:
+    """The building's place phrase stands in the name as whole words; null if it has fewer than four letters."""
+    return whole_words(name).contains(building_phrase(building))
+
+
+def overlap_words(src: Column) -> Column:
+    """The distinct words of three letters and more."""
+    return F.array_distinct(_tokens(_no_brackets(src), 3, []))
+
+
+def words_overlap(words: Column, hay: Column) -> Column:
+    """See text_overlap; words of overlap_words, hay of unspaced."""
+    return F.when(F.size(words) > 0, _found(words, hay) / F.size(words)).otherwise(0.0)
 
 
 def text_overlap(src: Column, dst: Column) -> Column:
     """Share of the distinct words of src (three letters and more) that stand in dst; 0 without words."""
-    t, hay = F.array_distinct(_tokens(_no_brackets(src), 3, [])), _without_spaces(dst)
-    return F.when(F.size(t) > 0, F.size(F.filter(t, lambda w: hay.contains(w))) / F.size(t)).otherwise(0.0)
+    return words_overlap(overlap_words(src), unspaced(dst))
 
 
 def room_number(x: Column) -> Column:

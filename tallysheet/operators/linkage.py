@@ -17,13 +17,18 @@ def decision(to_part: Column, place_hits: Column, building_hits: Column, most: i
     """
     place, building = F.array_sort(F.array_distinct(place_hits)), F.array_sort(F.array_distinct(building_hits))
     both = F.array_sort(F.array_intersect(place, building))
-    found = F.when(F.array_contains(both, to_part), to_part).when(F.size(both) == 1, F.get(both, 0))
     near = F.when(F.size(both) > 0, both).otherwise(F.array_sort(F.array_union(place, building)))
+    return _decided(to_part, F.array_contains(both, to_part), F.size(place), F.size(building), F.size(both), F.get(both, 0), F.when(F.size(near) <= most, near))
+
+
+def _decided(to_part: Column, named: Column, place: Column, building: Column, both: Column, only: Column, near: Column) -> Column:
+    """See decision. named: whether both point to to_part; place, building, both: how many parts they point to; only: the part where both point to one; near: the candidates, null if they are too many."""
+    found = F.when(named, to_part).when(both == 1, only)
     reason = (
-        F.when(F.size(both) > 1, "several stations match place and building")
-        .when((F.size(place) > 0) & (F.size(building) > 0) & (F.size(both) == 0), "place and building disagree")
-        .when(F.size(place) > 0, "place only")
-        .when(F.size(building) > 0, "building only")
+        F.when(both > 1, "several stations match place and building")
+        .when((place > 0) & (building > 0) & (both == 0), "place and building disagree")
+        .when(place > 0, "place only")
+        .when(building > 0, "building only")
         .otherwise("neither place nor building match")
     )
     none = F.array().cast("array<bigint>")
@@ -31,19 +36,39 @@ def decision(to_part: Column, place_hits: Column, building_hits: Column, most: i
     return F.struct(
         status.alias("status"),
         F.when(status == "verified", found.cast("bigint")).alias("part"),
-        F.when((status == "review") & (F.size(near) <= most), near.cast("array<bigint>")).otherwise(none).alias("candidates"),
+        F.when((status == "review") & near.isNotNull(), near.cast("array<bigint>")).otherwise(none).alias("candidates"),
         F.when(status == "review", reason).alias("reason"),
     )
 
 
-def place_decisions(mappings: DataFrame, stations: DataFrame, ac: str = "ac_number") -> DataFrame:
-    """mappings (id, ac, area, to_part, building) with decision, by the stations (ac, part_number, text, name, areas) of the same constituency."""
-    m = mappings.select("id", ac, "area", "to_part", "building")
-    pairs = m.join(stations, ac, "left")
-    place = F.when(text.place_found_in(F.col("area"), F.coalesce("areas", "text")), F.col("part_number"))
-    building = F.when(F.coalesce(text.building_matches(F.col("building"), F.col("text")), F.lit(False)) | F.coalesce(text.building_phrase_in(F.col("building"), F.col("name")), F.lit(False)), F.col("part_number"))
-    hits = pairs.groupBy("id", ac, "area", "to_part", "building").agg(F.collect_set(place).alias("_p"), F.collect_set(building).alias("_b"))
-    return hits.select("id", ac, "to_part", decision(F.col("to_part"), F.col("_p"), F.col("_b")).alias("decision"))
+def place_decisions(mappings: DataFrame, stations: DataFrame, ac: str = "ac_number", most: int = 4) -> DataFrame:
+    """mappings (id, ac, area, to_part, building) with decision, by the stations (ac, part_number, text, name, areas) of the same constituency.
+
+    Texts are normalised once for each row. Only different sets of words are compared with different stations' texts; parts of
+    equal texts are counted, not listed. The named part is looked up by its number.
+    """
+    words = ["_place", "_building", "_phrase"]
+    m = mappings.select("id", ac, "area", "to_part", "building").distinct()
+    m = m.select("id", ac, "to_part", text.place_tokens(F.col("area")).alias("_place"), text.building_tokens(F.col("building")).alias("_building"), F.coalesce(text.building_phrase(F.col("building")), F.lit("")).alias("_phrase"))
+    texts = F.struct(text.unspaced(F.coalesce("areas", "text")).alias("areas"), text.unspaced(F.col("text")).alias("text"), text.whole_words(F.col("name")).alias("name"))
+    parts = stations.filter(F.col("part_number").isNotNull()).groupBy(ac, "part_number").agg(F.array_sort(F.collect_set(texts)).alias("_texts"))
+    place = F.exists("_texts", lambda s: text.place_within(F.col("_place"), s["areas"]))
+    phrase = lambda s: (F.col("_phrase") != "") & s["name"].contains(F.col("_phrase"))
+    building = F.exists("_texts", lambda s: F.coalesce(text.building_within(F.col("_building"), s["text"]), F.lit(False)) | F.coalesce(phrase(s), F.lit(False)))
+
+    first = F.row_number().over(Window.partitionBy(ac, "_texts").orderBy("part_number")) <= most + 1
+    kinds = parts.withColumn("_first", first).groupBy(ac, "_texts").agg(F.count("*").alias("_n"), F.min("part_number").alias("_least"), F.collect_list(F.when(F.col("_first"), F.col("part_number"))).alias("_parts"))
+    met = m.select(ac, *words).distinct().join(kinds, ac).withColumn("_p", place).withColumn("_b", building).filter("_p or _b")
+    n = lambda x: F.coalesce(F.sum(F.when(x, F.col("_n"))), F.lit(0))
+    listed = lambda x: F.array_sort(F.flatten(F.collect_list(F.when(x, F.col("_parts")))))
+    p, b = F.col("_p"), F.col("_b")
+    hits = met.groupBy(ac, *words).agg(n(p).alias("_np"), n(b).alias("_nb"), n(p & b).alias("_nboth"), F.sum("_n").alias("_nany"), F.min(F.when(p & b, F.col("_least"))).alias("_only"), listed(p & b).alias("_both"), listed(p | b).alias("_any"))
+    near = F.when(F.col("_nboth") > 0, F.when(F.col("_nboth") <= most, F.col("_both"))).when(F.col("_nany") <= most, F.col("_any"))
+    hits = hits.select(ac, *words, "_np", "_nb", "_nboth", "_only", near.alias("_near"))
+
+    named = m.join(parts.withColumnRenamed("part_number", "to_part"), [ac, "to_part"], "left").select("id", ac, "to_part", *words, F.coalesce(place & building, F.lit(False)).alias("_named"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return named.join(hits, [ac, *words], "left").select("id", ac, "to_part", _decided(F.col("to_part"), F.col("_named"), n("_np"), n("_nb"), n("_nboth"), F.col("_only"), F.col("_near")).alias("decision"))
 
 
 def bridge(review: DataFrame, rows: DataFrame, stations: DataFrame, least_building: float = 0.5, least: float = 0.6, gap: float = 0.15) -> DataFrame:

@@ -1,7 +1,12 @@
-"""The evaluation of mappings on hand-worked rows, and late rows and sessions of a stream."""
+"""The evaluation of mappings on hand-worked rows and against pairs compared one by one, and late rows and sessions of a stream."""
 
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
+from tallysheet.functions import text
 from tallysheet.operators import linkage
 from tallysheet.streaming import events
 
@@ -25,6 +30,43 @@ def test_evaluated(spark):
     assert (got[6]["status"], got[6]["reason"]) == ("review", "neither place nor building match")
 
 
+def pairs_decided(m, s, most):
+    """Each mapping with each station of its constituency."""
+    pairs = m.join(s, "ac_number", "left")
+    place = F.when(text.place_found_in(F.col("area"), F.coalesce("areas", "text")), F.col("part_number"))
+    building = F.when(F.coalesce(text.building_matches(F.col("building"), F.col("text")), F.lit(False)) | F.coalesce(text.building_phrase_in(F.col("building"), F.col("name")), F.lit(False)), F.col("part_number"))
+    hits = pairs.groupBy("id", "ac_number", "area", "to_part", "building").agg(F.collect_set(place).alias("p"), F.collect_set(building).alias("b"))
+    return hits.select("id", "ac_number", "to_part", linkage.decision(F.col("to_part"), F.col("p"), F.col("b"), most).alias("decision"))
+
+
+def phrase(r, most=3, words=("alpha", "beta", "gamma", "mill house", "town hall", "Omega-3", "(old)", "क.न. 2", "क.न. 3", "राजकीय", "")):
+    return None if r.random() < 0.06 else " ".join(r.choice(words) for _ in range(r.randint(0, most)))
+
+
+@pytest.mark.parametrize("most", [1, 4])
+def test_decisions_are_those_of_all_pairs(spark, most):
+    """Texts that many rows share, nulls, brackets, repeated parts with other texts, parts without number, repeated ids and empty constituencies."""
+    r = random.Random(most)
+    some = lambda n, share=0.08: None if r.random() < share else r.randrange(n)
+    m = spark.createDataFrame([(r.randrange(150), some(5), phrase(r), some(12, 0.2), phrase(r)) for _ in range(200)], "id int, ac_number int, area string, to_part int, building string").repartition(3)
+    s = spark.createDataFrame([(some(4), some(12), phrase(r), phrase(r), phrase(r)) for _ in range(60)], "ac_number int, part_number int, text string, name string, areas string").repartition(3)
+    got = sorted(map(repr, linkage.place_decisions(m, s, most=most).collect()))
+    assert got == sorted(map(repr, pairs_decided(m, s, most).collect()))
+    assert len({x.split("reason=")[1] for x in got}) == 6
+
+
+def test_rows_of_equal_texts_are_compared_once(spark):
+    """One constituency of 6000 mappings and 2000 stations with few texts; as pairs they took minutes."""
+    m = spark.range(6000).selectExpr("cast(id as int) id", "5 ac_number", "concat('place', id % 4) area", "cast(id % 2000 as int) to_part", "concat('mill house ', elt(1 + id % 3, 'north', 'south', 'west')) building")
+    s = spark.range(2000).selectExpr("5 ac_number", "cast(id as int) part_number", "concat('place', id % 4, ' mill house ', elt(1 + id % 3, 'north', 'south', 'west')) text")
+    s = s.select("*", F.col("text").alias("name"), F.col("text").alias("areas"))
+    began = time.time()
+    got = linkage.place_decisions(m, s).select("decision.*").groupBy("status", "reason").count().collect()
+    # Digits aren't compared, so a place points to all stations; the building points to a third of them.
+    assert {tuple(r) for r in got} == {("verified", None, 2000), ("review", "several stations match place and building", 4000)}
+    assert time.time() - began < 60
+
+
 def test_late_rows_and_sessions(spark, tmp_path):
     """A row that comes after the watermark has passed its window isn't counted; one within the allowed lateness is."""
 
