@@ -76,16 +76,29 @@ def bridge(review: DataFrame, rows: DataFrame, stations: DataFrame, least_buildi
 
     rows: ac_number, serial, locality, building, areas; stations: ac_number, part_number, name, areas. The list's row must be the only
     one of that serial with the building; the best station must have a score of `least` and lead by `gap`.
+
+    Texts are normalised once for each row. Rows of equal texts are counted and compared once, on all three sides.
     """
-    r = rows.select("ac_number", F.col("serial").alias("to_part"), F.concat_ws(" ", "locality", "building").alias("_row"), F.col("building").alias("_building"), F.col("areas").alias("_areas"))
-    near = review.join(r, ["ac_number", "to_part"]).filter(text.text_overlap(F.col("building"), F.col("_row")) >= least_building)
-    only = near.withColumn("_n", F.count("*").over(Window.partitionBy("id"))).filter("_n = 1")
-    a, b = text.room_number(F.col("_building")), text.room_number(F.col("name"))
-    scored = only.join(stations, "ac_number").filter(a.isNull() | b.isNull() | (a == b))
-    score = 0.5 * text.text_overlap(F.col("_building"), F.col("name")) + 0.5 * text.text_overlap(F.col("_areas"), F.col("areas"))
-    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("part_number"))
-    ranked = scored.withColumn("score", score).withColumn("_rank", F.row_number().over(w)).withColumn("_next", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    return ranked.filter((F.col("_rank") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("_next") >= gap)).select("id", F.col("part_number").alias("suggested_part"), "score")
+    words, key, at = text.overlap_words, ["ac_number", "to_part", "_words"], ["ac_number", "_listed"]
+    room = lambda c: F.coalesce(text.room_number(F.col(c)), F.lit(""))
+    listed = F.struct(words(F.col("building")).alias("building"), room("building").alias("room"), words(F.col("areas")).alias("areas"))
+    r = rows.select("ac_number", F.col("serial").alias("to_part"), text.unspaced(F.concat_ws(" ", "locality", "building")).alias("_row"), listed.alias("_listed"))
+    r = r.groupBy("ac_number", "to_part", "_row", "_listed").agg(F.count("*").alias("_k"))
+    v = review.select("id", "ac_number", "to_part", words(F.col("building")).alias("_words"))
+    near = v.select(key).distinct().join(r, ["ac_number", "to_part"]).filter(text.words_overlap(F.col("_words"), F.col("_row")) >= least_building)
+    near = near.groupBy(key).agg(F.sum("_k").alias("_k"), F.first("_listed").alias("_listed"))
+    only = v.join(near, key).groupBy("id").agg(F.sum("_k").alias("_k"), F.first("ac_number").alias("ac_number"), F.first("_listed").alias("_listed")).filter("_k = 1").drop("_k")
+
+    s = stations.select("ac_number", "part_number", text.unspaced(F.col("name")).alias("_name"), room("name").alias("_room"), text.unspaced(F.col("areas")).alias("_areas"))
+    s = s.groupBy("ac_number", "_name", "_room", "_areas").agg(F.max("part_number").alias("part_number"), F.count("*").alias("_k"))
+    a, b = F.col("_listed.room"), F.col("_room")
+    score = 0.5 * text.words_overlap(F.col("_listed.building"), F.col("_name")) + 0.5 * text.words_overlap(F.col("_listed.areas"), F.col("_areas"))
+    # A station under both limits neither is the best nor stops the best from leading.
+    scored = only.select(at).distinct().join(s, "ac_number").filter((a == "") | (b == "") | (a == b)).withColumn("score", score).filter(F.col("score") >= min(least, least - gap) - 1e-9)
+    w = Window.partitionBy(at).orderBy(F.desc("score"), F.desc("part_number"))
+    after = F.when(F.col("_k") > 1, F.col("score")).otherwise(F.coalesce(F.lead("score").over(w), F.lit(0.0)))
+    best = scored.select(*at, "part_number", "score", F.row_number().over(w).alias("_rank"), after.alias("_next")).filter((F.col("_rank") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("_next") >= gap))
+    return only.join(best, at).select("id", F.col("part_number").alias("suggested_part"), "score")
 
 
 def evaluated(mappings: DataFrame, stations: DataFrame, rows: DataFrame, ac: str = "ac_number") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallysheet.functions import text
@@ -39,6 +40,18 @@ def pairs_decided(m, s, most):
     return hits.select("id", "ac_number", "to_part", linkage.decision(F.col("to_part"), F.col("p"), F.col("b"), most).alias("decision"))
 
 
+def pairs_bridged(review, rows, stations, least_building, least, gap):
+    r = rows.select("ac_number", F.col("serial").alias("to_part"), F.concat_ws(" ", "locality", "building").alias("_row"), F.col("building").alias("_building"), F.col("areas").alias("_areas"))
+    near = review.join(r, ["ac_number", "to_part"]).filter(text.text_overlap(F.col("building"), F.col("_row")) >= least_building)
+    only = near.withColumn("_n", F.count("*").over(Window.partitionBy("id"))).filter("_n = 1")
+    a, b = text.room_number(F.col("_building")), text.room_number(F.col("name"))
+    scored = only.join(stations, "ac_number").filter(a.isNull() | b.isNull() | (a == b))
+    score = 0.5 * text.text_overlap(F.col("_building"), F.col("name")) + 0.5 * text.text_overlap(F.col("_areas"), F.col("areas"))
+    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("part_number"))
+    ranked = scored.withColumn("score", score).withColumn("_rank", F.row_number().over(w)).withColumn("_next", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
+    return ranked.filter((F.col("_rank") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("_next") >= gap)).select("id", F.col("part_number").alias("suggested_part"), "score")
+
+
 def phrase(r, most=3, words=("alpha", "beta", "gamma", "mill house", "town hall", "Omega-3", "(old)", "क.न. 2", "क.न. 3", "राजकीय", "")):
     return None if r.random() < 0.06 else " ".join(r.choice(words) for _ in range(r.randint(0, most)))
 
@@ -55,6 +68,18 @@ def test_decisions_are_those_of_all_pairs(spark, most):
     assert len({x.split("reason=")[1] for x in got}) == 6
 
 
+@pytest.mark.parametrize("limits", [(0.5, 0.6, 0.15), (0.0, 0.3, 0.5), (0.4, 0.2, 0.0)])
+def test_bridge_is_that_of_all_pairs(spark, limits):
+    r = random.Random(7)
+    some = lambda n, share=0.08: None if r.random() < share else r.randrange(n)
+    v = spark.createDataFrame([(r.randrange(250), some(12), some(6), phrase(r)) for _ in range(300)], "id int, ac_number int, to_part int, building string").repartition(3)
+    rows = spark.createDataFrame([(some(12), some(6), phrase(r), phrase(r), phrase(r, 2)) for _ in range(80)], "ac_number int, serial int, locality string, building string, areas string")
+    s = spark.createDataFrame([(some(12), i % 70, phrase(r, 7), phrase(r, 7)) for i in range(90)], "ac_number int, part_number int, name string, areas string")
+    got = sorted(map(repr, linkage.bridge(v, rows, s, *limits).collect()))
+    assert got == sorted(map(repr, pairs_bridged(v, rows, s, *limits).collect()))
+    assert got
+
+
 def test_rows_of_equal_texts_are_compared_once(spark):
     """One constituency of 6000 mappings and 2000 stations with few texts; as pairs they took minutes."""
     m = spark.range(6000).selectExpr("cast(id as int) id", "5 ac_number", "concat('place', id % 4) area", "cast(id % 2000 as int) to_part", "concat('mill house ', elt(1 + id % 3, 'north', 'south', 'west')) building")
@@ -64,6 +89,9 @@ def test_rows_of_equal_texts_are_compared_once(spark):
     got = linkage.place_decisions(m, s).select("decision.*").groupBy("status", "reason").count().collect()
     # Digits aren't compared, so a place points to all stations; the building points to a third of them.
     assert {tuple(r) for r in got} == {("verified", None, 2000), ("review", "several stations match place and building", 4000)}
+    v = m.selectExpr("id", "ac_number", "to_part % 7 to_part", "building")
+    rows = s.selectExpr("ac_number", "part_number % 7 serial", "'' locality", "name building", "areas")
+    assert linkage.bridge(v, rows, s).count() == 0
     assert time.time() - began < 60
 
 
