@@ -209,15 +209,31 @@ def core_bigrams(blocks: DataFrame, words, size: int, train: Callable[[int | Non
 SWEPT = "block long, shard int, words binary, sums array<double>, tops array<int>, classes array<int>"
 
 
-def sweep(blocks: DataFrame, known, tops, table: np.ndarray, train: Callable[[int | None], bool], partitions: int, last: bool) -> DataFrame:
+def sweep(blocks: DataFrame, known, tops, table: np.ndarray, train: Callable[[int | None], bool], partitions: int, listed: bool, classed: DataFrame | None = None) -> DataFrame:
     """One sweep of exchange over all words: each training word goes to the best class for its neighbours of known class.
 
     A block gives, for each of its words, the number of its training tokens and how often classes of `known` stand before and after
     it; these meet by shard of the word's hash. A row without block for each shard: sums has the class bigrams
     (of which one word at least is known), then the tokens and the once-seen words of each class; tops and classes have the
-    places in `tops` of its words, and their classes. With last, also a row for each block and shard: the counts and classes of the block's words.
+    places in `tops` of its words, and their classes. With listed, also a row for each block and shard: the counts and classes of the block's words.
+    With classed, the listed rows of the sweep before, every training word is known, by its class there.
     """
-    k = len(table)
+    k, everywhere = len(table), classed is not None
+
+    def told(block: int, ids: list, p: Places, parts: list, g: np.ndarray) -> pa.RecordBatch:
+        """g: the class of each token, -1 if it isn't known."""
+        use = p.training(ids, train)
+        n = np.bincount(p.at[use], minlength=p.size)
+        keys = []
+        for side, near in ((0, p.before(g)), (k, p.after(g))):
+            ok = use & (near >= 0)
+            keys.append(p.at[ok] * (2 * k) + side + near[ok])
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        m = np.bincount(key // (2 * k), minlength=p.size)
+        starts, ends = p.starts, np.append(p.starts[1:], p.size)
+        upto = np.concatenate([[0], np.cumsum(m)])
+        rows = [(x["shard"], block, x["words"], pack_numbers(np.concatenate([n[i:j], m[i:j], key[upto[i] : upto[j]] % (2 * k), count[upto[i] : upto[j]]]))) for x, i, j in zip(parts, starts, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "words", "stats"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by_worker("brown")
@@ -225,25 +241,20 @@ def sweep(blocks: DataFrame, known, tops, table: np.ndarray, train: Callable[[in
             for block, ids, lengths, numbers, shards, parts in zip(*(b.column(i) for i in range(6)), strict=True):
                 p, parts = Places(lengths.values.to_numpy(), numbers.as_py(), shards.as_py()), parts.as_py()
                 g = known.value.classes[known.value.places([w for part in parts for w in unpack_parts(part["words"])])][p.at]
-                use = p.training(ids.as_py(), train)
-                n = np.bincount(p.at[use], minlength=p.size)
-                keys = []
-                for side, near in ((0, p.before(g)), (k, p.after(g))):
-                    ok = use & (near >= 0)
-                    keys.append(p.at[ok] * (2 * k) + side + near[ok])
-                key, count = np.unique(np.concatenate(keys), return_counts=True)
-                m = np.bincount(key // (2 * k), minlength=p.size)
-                starts, ends = p.starts, np.append(p.starts[1:], p.size)
-                upto = np.concatenate([[0], np.cumsum(m)])
-                rows = [(x["shard"], block.as_py(), x["words"], pack_numbers(np.concatenate([n[i:j], m[i:j], key[upto[i] : upto[j]] % (2 * k), count[upto[i] : upto[j]]]))) for x, i, j in zip(parts, starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "words", "stats"])
+                yield told(block.as_py(), ids.as_py(), p, parts, g)
+
+    def classed_contexts(v: pa.Table, b: pa.Table) -> pa.Table:
+        kept_by_worker("brown")
+        p = Places(b["lengths"][0].values.to_numpy(), b["numbers"][0].as_py(), b["shards"][0].as_py())
+        _, g = counts_and_classes(v, p)
+        return pa.Table.from_batches([told(b["block"][0].as_py(), b["doc_ids"][0].as_py(), p, b["parts"][0].as_py(), g)])
 
     def assign(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         at, counts, flat, weight = [], [], [], []
         for _, _, words, stats in rows:
-            listed, x = unpack_parts(words), unpack_numbers(stats).astype(np.int64)
-            own = np.fromiter((seen.setdefault(w, len(seen)) for w in listed), np.int64, len(listed))
+            its, x = unpack_parts(words), unpack_numbers(stats).astype(np.int64)
+            own = np.fromiter((seen.setdefault(w, len(seen)) for w in its), np.int64, len(its))
             n, m, rest = x[: len(own)], x[len(own) : 2 * len(own)], x[2 * len(own) :]
             at.append(own)
             counts.append(n)
@@ -264,17 +275,23 @@ def sweep(blocks: DataFrame, known, tops, table: np.ndarray, train: Callable[[in
             hot = np.zeros((j - i, k))
             hot[np.arange(j - i), g[i:j]] = 1
             # A bigram of two known words counts once, as what stands before the second.
-            sums += near[:, :k].T @ hot + (hot[place[i:j] < 0]).T @ near[place[i:j] < 0, k:]
+            new = (place[i:j] < 0) & (not everywhere)
+            sums += near[:, :k].T @ hot + hot[new].T @ near[new, k:]
         emitted, once = np.bincount(g, c, k), np.bincount(g, c == 1, k)
         top = tops.value.places(words)
         t = np.flatnonzero(top >= 0)
         shard = rows[0][0]
         yield _swept([(None, shard, None, np.concatenate([sums.ravel(), emitted, once]), top[t], g[t])])
-        if last:
+        if listed:
             for own, (_, block, _, _) in zip(at, rows, strict=True):
                 yield _swept([(block, shard, pack_numbers(np.concatenate([c[own], g[own]])), None, None, None)])
 
-    rows = blocks.select("block", "doc_ids", "lengths", "numbers", "shards", "parts").mapInArrow(contexts, "shard int, block long, words binary, stats binary")
+    form = "shard int, block long, words binary, stats binary"
+    if classed is None:
+        rows = blocks.select("block", "doc_ids", "lengths", "numbers", "shards", "parts").mapInArrow(contexts, form)
+    else:
+        values, places = per_block(classed, blocks, "parts")
+        rows = values.cogroup(places).applyInArrow(classed_contexts, form)
     return rows.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(assign), SWEPT)
 
 
@@ -307,9 +324,9 @@ def class_bigrams(swept: DataFrame, blocks: DataFrame, k: int, train: Callable[[
     return out.reshape(k, k)
 
 
-def per_block(swept: DataFrame, blocks: DataFrame):
+def per_block(swept: DataFrame, blocks: DataFrame, *more: str):
     values = swept.filter("block is not null").select("block", "shard", "words")
-    return values.groupBy("block"), blocks.select("block", "doc_ids", "lengths", "numbers", "shards").groupBy("block")
+    return values.groupBy("block"), blocks.select("block", "doc_ids", "lengths", "numbers", "shards", *more).groupBy("block")
 
 
 @dataclass
@@ -334,19 +351,19 @@ class Model:
         return weight * own + (1 - weight) * self.base(c)
 
 
-def fit(blocks: DataFrame, train: Callable[[int | None], bool], partitions: int, core: int, known_words: int, classes: int, sweeps: int, weight: float, smoothing: float = 0.1) -> tuple[Model, DataFrame, list[str]]:
+def fit(blocks: DataFrame, train: Callable[[int | None], bool], partitions: int, core: int, known_words: int | None, classes: int, sweeps: int, weight: float, smoothing: float = 0.1) -> tuple[Model, DataFrame, list[str]]:
     """The model, the last sweep's rows (with the count and class of each word of each block), and their staged path.
 
     1. The `core` most frequent words and the end are clustered by exact exchange over their bigrams.
-    2. In each sweep, every other word of the training text goes to its best class, by its neighbours of known class: those of the core at first, then those
-       of the known_words most frequent words, with the classes that the sweep before gave them. The class bigrams are
+    2. In each sweep, every other word of the training text goes to its best class, by its neighbours of known class: those of the core at first, then all
+       (with known_words: so many of the most frequent words), with the classes that the sweep before gave them. The class bigrams are
        rebuilt from the contexts of all words: known neighbours count at the class they had when the sweep began.
     3. The transitions are of the class bigrams of all training tokens, with the classes of the last sweep.
     """
     spark = blocks.sparkSession
     counts, counts_path = staged(word_counts(blocks, train, partitions), "word-counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    top = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(max(core, known_words)).select("word").toArrow()["word"].to_pylist()
+    top = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(max(core, known_words or 0)).select("word").toArrow()["word"].to_pylist()
     released(spark, counts_path)
     words = [END, *map(bytes, top)]
     size = min(core + 1, len(words))
@@ -355,17 +372,18 @@ def fit(blocks: DataFrame, train: Callable[[int | None], bool], partitions: int,
     of = exchange(bigrams, classes)
     hot = np.eye(classes)[of]
     table, known = hot.T @ bigrams @ hot, share(Known(words[:size], of, size))
-    tops, path = share(Known(words, np.zeros(len(words), np.int64), size)), None
+    tops, swept, path = share(Known(words, np.zeros(len(words), np.int64), size)), None, None
     for i in range(sweeps):
-        if path:
-            released(spark, path)
-        swept, path = staged(sweep(blocks, known, tops, table, train, partitions, i == sweeps - 1), "sweep")
+        before = path
+        swept, path = staged(sweep(blocks, known, tops, table, train, partitions, known_words is None or i == sweeps - 1, swept if known_words is None else None), "sweep")
+        if before:
+            released(spark, before)
         summary = swept.filter("block is null")
         got = summary.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).toArrow()
         sums = np.zeros(classes * classes + 2 * classes)
         sums[got["at"].to_numpy()] = got["x"].to_numpy()
         table = sums[: classes * classes].reshape(classes, classes)
-        if i < sweeps - 1:
+        if i < sweeps - 1 and known_words is not None:
             g = np.zeros(len(words), np.int64)
             found = summary.select(F.explode(F.arrays_zip("tops", "classes")).alias("x")).select("x.tops", "x.classes").toArrow()
             g[found["tops"].to_numpy()] = found["classes"].to_numpy()
@@ -376,7 +394,7 @@ def fit(blocks: DataFrame, train: Callable[[int | None], bool], partitions: int,
     return Model(transitions, emitted, once, int(of[0]), int(n), int(v), weight), swept, path
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Callable[[int | None], bool] = in_fold, core: int = 1000, known_words: int = 200_000, classes: int = 60, sweeps: int = 2, weight: float = 0.9, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Callable[[int | None], bool] = in_fold, core: int = 1000, known_words: int | None = None, classes: int = 60, sweeps: int = 2, weight: float = 0.9, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
     Learns from all texts of ids that held_out doesn't name; tokens are words (A-Z in lower case) and one end.
@@ -385,8 +403,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all classes give theirs. Both scores are proper: the words of the training text and one unknown word sum to 1.
 
     Every training word is in a class by its own contexts, however many words there are, see fit. What is of fixed size
-    are the classes, the core of words that exact exchange clusters on the driver, and the table of frequent words whose classes
-    count as context in a sweep (a broadcast); words outside it are moved like others, but tell their neighbours nothing.
+    are the classes, and the core of words that exact exchange clusters on the driver. After the first sweep all words count as context: their classes come back to
+    the blocks by shard. With known_words only so many of the most frequent ones do (a broadcast); others are moved like them, but tell their neighbours nothing.
 
     One scan splits the texts into blocks, which are staged: distinct words, and the places where they stand. Counts and contexts of words meet by shard of the
     word's hash, and shards grow with the input; a word that stands everywhere is one entry a block.

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import math
 import random
 import zlib
@@ -495,6 +496,16 @@ def test_language_model_against_brute_force(docs, rows, block_chars):
     assert sum(t > 0 for t in table) > 4
 
 
+@pytest.mark.parametrize("block_chars", [700, 10_000_000])
+def test_all_words_are_context(docs, rows, block_chars):
+    """By default no table of frequent words: the rarest word, too, tells its neighbours its class of the sweep before."""
+    want, _ = brute_scores(rows, 6, 10**9, 4, 3, 0.8)
+    got = brown.score_corpus(docs, core=6, classes=4, sweeps=3, weight=0.8, block_chars=block_chars).collect()
+    have = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)
+    assert [i for i, _ in have] == [i for i, _ in want] and [x for _, x in have] == pytest.approx([x for _, x in want])
+    assert inspect.signature(brown.score_corpus).parameters["known_words"].default is None
+
+
 def test_model_is_proper():
     r = np.random.default_rng(1)
     bigrams = r.integers(0, 9, (12, 12)).astype(float)
