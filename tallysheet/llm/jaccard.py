@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallysheet.llm.common import columns, in_slices, kept_by_worker, released, staged, words_of
+from tallysheet.llm.common import columns, in_filter, in_slices, kept_by_worker, released, staged, words_of
 from tallysheet.llm.components import components
 
 #: Counters of the global order, and of them in a chunk.
@@ -21,8 +21,8 @@ COUNTERS, CHUNK = 1 << 21, 1 << 15
 HOT = 50_000
 #: Words of 64 bits in the sketch of a set that bounds overlaps.
 SKETCH = 16
-#: Bits of the filter that spares documents which are in no candidate pair.
-BITS = 1 << 23
+#: Sets of a list that its others are compared with in the first round that takes more than one, and pairs of two components that are then counted. Both grow by GROWTH from round to round.
+AT_FIRST, PAIRS_AT_FIRST, GROWTH = 100, 4, 8
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -204,31 +204,23 @@ def from_bytes(b: bytes) -> np.ndarray:
 def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
     """pairs (a, b, na, nb) with inter, their overlap: counted in each fragment of the order on its own and summed by pair.
 
-    Only documents in the pairs are cut into fragments: a filter of BITS bits passes them (and a few more, which join nothing).
+    Only documents in the pairs are cut into fragments: a filter of a fixed number of bits passes them (and a few more, which join nothing).
     """
     ends = merged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), reps.select("id", "node", "rep"), "id")
-    bit = F.pmod(F.xxhash64("rep"), F.lit(BITS))
-    rows = ends.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {BITS}) % 64 as int))")).alias("bits")).toArrow()
-    field = np.zeros(BITS // 64, np.int64)
-    field[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(field)
-    marked = docs.withColumn("_bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
+    wanted = in_filter(docs.filter("doc_id is not null"), "doc_id", ends.select("rep"), "rep", "_in").filter("_in").select("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, ranked = shared.value, order.value
+        ranked = order.value
         for b in batches:
-            bits = b.column(2).to_numpy(zero_copy_only=False)
-            wanted = np.flatnonzero((field[bits >> 6] >> (bits & 63)) & 1)
             rows = []
-            for i in wanted:
-                if len(s := shingles(b.column(1)[int(i)].as_py(), size)):
+            for text in b.column(0):
+                if len(s := shingles(text.as_py(), size)):
                     node = fingerprint(s)
                     rows += [(node, f, to_bytes(part)) for f, part in ranked.fragments(s)]
             for i, j in in_slices(rows, [len(r[2]) for r in rows], 16_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i:j]], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.binary()))], ["node", "fragment", "part"])
 
-    parts = marked.filter("doc_id is not null").mapInArrow(cut, "node binary, fragment int, part binary")
+    parts = wanted.mapInArrow(cut, "node binary, fragment int, part binary")
     fragments = len(order.value.cuts) + 1
     named = lambda end: ends.select(F.col("id").alias(end), F.col("node").alias(f"node_{end}"))
     sets_of = merged(merged(pairs.select("a", "b"), named("a"), "a"), named("b"), "b")
@@ -261,8 +253,10 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
        (prefix filter), at places that leave room for the overlap they need.
     3. Sets that share such an n-gram are candidates. A list of many sets isn't multiplied out: in rounds, each set is
        compared with one of its list's (of its largest component), and components grow, until the pairs that remain
-       between different components are few against the lists, or, after min_rounds, a round links fewer than half of its pairs;
-       then all of those are compared, but for pairs whose sketches show that too many n-grams differ. So no link between components is lost, and none within one is needed.
+       between different components are few against the lists, or, after min_rounds, a round links half of its pairs or fewer.
+       Then each set meets a sample of its list, but for pairs whose sketches show that too many n-grams differ. Of those of two components only the
+       few whose sketches are most alike are counted: one link joins both, and the rest isn't needed. Sample and number grow from round to round
+       until the sample is the whole list and no pair of two components is held back. So no link between components is lost, and none within one is needed.
        A list is long only if many sets have hardly an n-gram that is rarer; such sets are mostly alike, and rounds join them.
     4. The overlap of a pair is counted in each fragment of the global order separately, and summed.
 
@@ -277,10 +271,11 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
     shared, shared_path = staged(postings(whole, reps), "postings")
     sets, _ = staged(whole.select("doc_id", "n", "node", "bits"), "sets")
     released(spark, whole_path)
-    checked, labels, edges, done_with = [], None, None, [shared_path]
+    checked, labels, edges, shapes, done_with = None, None, None, None, []
+    last, whole_lists, held, waiting, sample, most = False, False, False, None, AT_FIRST, PAIRS_AT_FIRST
+    need = required("na", "nb", num, den)
     for i in itertools.count():
         if i == 0:
-            last = False
             found = shared.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("head.id").alias("b"), F.col("head.n").alias("nb"), F.col("head.pos").alias("pb")).filter("a <> b")
         else:
             rows = merged(shared.drop("head"), labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -289,40 +284,66 @@ def jaccard_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
             lists = lists.groupBy("token").agg(F.max(F.struct("k", F.col("component").alias("c"), "p")).alias("m"), F.sum("k").alias("total"), F.count("*").alias("components"))
             lists = lists.filter("components > 1").select("token", F.col("m.c").alias("main"), F.col("m.p.id").alias("b"), F.col("m.p.n").alias("nb"), F.col("m.p.pos").alias("pb"), F.col("m.k").alias("k"), "total")
             lists, lists_path = staged(lists, "lists")
-            done_with.append(lists_path)
-            remaining = lists.agg(F.count("*").alias("tokens"), F.sum("total").alias("rows"), F.sum((F.col("total") - F.col("k")).cast("double") * F.col("total")).alias("pairs")).first()
-            if not remaining["tokens"]:
+            remaining = lists.agg(F.count("*").alias("tokens"), F.sum("total").alias("rows"), F.max("total").alias("longest"), F.sum((F.col("total") - F.col("k")).cast("double") * F.col("total")).alias("pairs")).first()
+            if not remaining["tokens"] and not held:
+                done_with.append(lists_path)
                 break
-            last = remaining["pairs"] <= rest_factor * remaining["rows"] or (i >= min_rounds and 2 * n_links < n_pairs)
-            near = merged(rows, lists, "token")
             if last:
-                shapes = merged(sets.select("node", "bits").dropDuplicates(["node"]), reps.select("id", "node"), "node").select("id", "bits")
-                near = merged(near.select("token", "id", "n", "pos", "component", "main"), shapes, "id")
+                sample, most = sample * GROWTH, most * GROWTH
+            last = last or remaining["pairs"] <= rest_factor * remaining["rows"] or (i >= min_rounds and 2 * n_links <= n_pairs)
+            whole_lists = last and (remaining["longest"] or 0) <= sample
+            # Lists of one component stay so, and those whose sample was whole have all of their candidates in waiting: later rounds read the others only.
+            near, near_path = staged(merged(rows, lists, "token"), "near")
+            released(spark, lists_path, shared_path)
+            shared, shared_path = (near.filter(F.col("total") > sample) if last else near).select("token", "id", "n", "pos"), near_path
+            if last:
+                if shapes is None:
+                    met = merged(near.select("id").distinct(), reps.select("id", "node"), "id")
+                    shapes, shapes_path = staged(merged(sets.select("node", "bits").dropDuplicates(["node"]), met, "node").select("id", "bits"), "shapes")
+                    done_with.append(shapes_path)
+                near = merged(near.select("token", "id", "n", "pos", "component", "main", "total"), shapes, "id")
                 left = near.filter("component <> main").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), F.col("bits").alias("ba"), "main")
-                right = near.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
-                need = required("na", "nb", num, den)
+                right = near.filter(F.pmod(F.xxhash64(F.lit(i), "token", "id"), F.col("total")) < sample).select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
                 # A pair of sets that are both outside the largest component would come twice.
                 apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
                 room = (F.col("na") - F.col("pa") >= need) & (F.col("nb") - F.col("pb") >= need)
-                alike = (F.col("na") - lacking("ba", "bb") >= need) & (F.col("nb") - lacking("bb", "ba") >= need)
-                found = merged(left, right, (left["token"] == right["token"]) & apart & room & alike).drop(left["token"])
+                spare = F.least(F.col("na") - lacking("ba", "bb"), F.col("nb") - lacking("bb", "ba")) - need
+                found = merged(left, right, (left["token"] == right["token"]) & apart & room & (spare >= 0)).drop(left["token"]).withColumn("spare", spare)
             else:
                 found = near.filter("component <> main").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "b", "nb", "pb")
-        need = required("na", "nb", num, den)
         found = found.filter((F.col("na") - F.col("pa") >= need) & (F.col("nb") - F.col("pb") >= need))
         swap = F.col("a") > F.col("b")
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
-        for done in checked:
-            found = merged(found, done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs, pairs_path = staged(found, "pairs")
-        checked.append(pairs)
-        good, good_path = staged(linked(pairs, docs, reps, order, size, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        done_with += [pairs_path, good_path]
-        n_pairs, n_links = pairs.count(), good.count()
-        edges = good if edges is None else edges.union(good)
-        labels, _ = staged(components(edges).withColumnRenamed("node", "id"), "labels")
+        ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")]
+        found = found.select(*ends, *([F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "spare"] if last else []))
+        if waiting is not None:
+            for end in ("a", "b"):
+                own = labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}_now"))
+                waiting = merged(waiting, own, end, "left").withColumn(f"c{end}_now", F.coalesce(f"c{end}_now", end))
+            found = found.union(waiting.filter("ca_now <> cb_now").select("a", "b", "na", "nb", F.least("ca_now", "cb_now"), F.greatest("ca_now", "cb_now"), "spare"))
+        found = found.distinct()
+        if checked is not None:
+            found = merged(found, checked, ["a", "b"], "left_anti")
         if last:
+            waiting, waiting_path = staged(found, "candidates")
+            done_with.append(waiting_path)
+            # The pair with most to spare of each bucket; the others wait until its links are known.
+            best = waiting.groupBy("ca", "cb", F.pmod(F.xxhash64("a", "b"), F.lit(most)).alias("bucket")).agg(F.max(F.struct("spare", "a", "b", "na", "nb")).alias("p"), ((F.min("a") < F.max("a")) | (F.min("b") < F.max("b"))).alias("more"))
+            found = best.select("p.a", "p.b", "p.na", "p.nb", "more")
+        pairs, pairs_path = staged(found, "pairs")
+        done_with.append(pairs_path)
+        n_pairs, held = pairs.count(), last and not pairs.filter("more").isEmpty()
+        pairs = pairs.select("a", "b", "na", "nb")
+        checked = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
+        n_links = 0
+        if n_pairs or edges is None:
+            good, good_path = staged(linked(pairs, docs, reps, order, size, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+            done_with.append(good_path)
+            n_links = good.count()
+            edges = good if edges is None else edges.union(good)
+            labels, _ = staged(components(edges).withColumnRenamed("node", "id"), "labels")
+        if whole_lists and not held:
             break
+    done_with.append(shared_path)
     released(spark, *done_with)
     named = merged(reps.select("id", "node", "rep").distinct(), labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -402,6 +402,21 @@ def test_jaccard(spark, docs, rows, empty, size, num, rest, hot):
         assert jaccard.jaccard_join(empty).count() == 0
 
 
+def test_jaccard_counts_few_pairs_of_a_large_group(spark, monkeypatch):
+    """Near copies about the threshold: components that one link joins aren't counted pair by pair, and no link is lost."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    base = [r.choice(words) for _ in range(170)]
+    rows = [(i, " ".join(w if r.random() > 0.012 else r.choice(words) for w in base)) for i in range(300)]
+    counted, linked = [], jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda pairs, *a: counted.append(pairs.count()) or linked(pairs, *a))
+    for name, n in (("AT_FIRST", 20), ("PAIRS_AT_FIRST", 1)):
+        monkeypatch.setattr(jaccard, name, n, raising=False)
+    got = collections.Counter(tuple(x) for x in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == brute_components(rows, 3, 90, 100)
+    assert sum(counted) < 6 * len(rows), counted
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7), (5, 6), (5, 6)]
